@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from verdikt.plans import ranking  # noqa: F401
+from verdikt.plans import pairs, ranking  # noqa: F401
 from verdikt.plans.registry import QUERIES, SQL  # noqa: F401
