@@ -100,16 +100,24 @@ def format_request(question: Column) -> dict[str, Column]:
 
 def format_features(text: Column) -> Column:
     """Struct of counts; one split of the whole text feeds the line features."""
-    rows = F.split(text, "\n")
-    table_rows = F.size(F.filter(rows, lambda x: x.rlike(TABLE_LINE)))
-    has_rule = F.exists(rows, lambda x: x.rlike(TABLE_RULE))
-    return F.struct(
-        F.length(text).cast("bigint").alias("char_count"),
-        T.word_count(text).cast("bigint").alias("word_count"),
-        F.size(F.filter(rows, lambda x: x.rlike(BULLET_LINE))).cast("bigint").alias("bullet_count"),
-        table_rows.cast("bigint").alias("table_rows"),
-        ((table_rows >= 2) & has_rule).alias("has_table"),
-        F.floor(T.count_of(text, "```") / 2).cast("bigint").alias("code_blocks"),
+    def line_counts(rows: Column) -> Column:
+        table_rows = F.size(F.filter(rows, lambda x: x.rlike(TABLE_LINE)))
+        return F.struct(
+            F.size(F.filter(rows, lambda x: x.rlike(BULLET_LINE))).cast("bigint").alias("bullet_count"),
+            table_rows.cast("bigint").alias("table_rows"),
+            ((table_rows >= 2) & F.exists(rows, lambda x: x.rlike(TABLE_RULE))).alias("has_table"),
+        )
+
+    return T.let(
+        T.let(F.split(text, "\n"), line_counts),
+        lambda v: F.struct(
+            F.length(text).cast("bigint").alias("char_count"),
+            T.word_count(text).cast("bigint").alias("word_count"),
+            v["bullet_count"].alias("bullet_count"),
+            v["table_rows"].alias("table_rows"),
+            v["has_table"].alias("has_table"),
+            F.floor(T.count_of(text, "```") / 2).cast("bigint").alias("code_blocks"),
+        ),
     )
 
 

@@ -23,6 +23,15 @@ SPACE = (
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
+
+    A lambda re-evaluates outer expressions for every element; an array that a
+    lambda looks into must be bound (or be a plain column) first.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_CHARS))
 
