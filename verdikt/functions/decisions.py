@@ -282,3 +282,16 @@ def verdict_label(verdict: Column, original: Column, tie_policy: str = "original
         .when(verdict == "TIE", tie)
         .otherwise(original)
     )
+
+
+def keyword_judge(prompt: Column, response_a: Column, response_b: Column) -> Column:
+    """Fallback judge: which response contains more of the prompt's words."""
+    terms = F.filter(
+        F.transform(T.words(prompt), lambda w: F.lower(F.btrim(w, F.lit(".,;:")))), lambda w: w != ""
+    )
+
+    def hits(terms_: Column, response: Column) -> Column:
+        return T.let(F.lower(response), lambda low: F.size(F.filter(terms_, lambda t: F.contains(low, t))))
+
+    votes = T.let(terms, lambda t: F.struct(hits(t, response_a).alias("a"), hits(t, response_b).alias("b")))
+    return T.let(votes, lambda v: compare(v["a"], v["b"]))
