@@ -27,29 +27,35 @@ def _hits(low: Column, words: Sequence[str]) -> Column:
     return sum((T.has_phrase(low, w.lower()).cast("int") for w in words), F.lit(0))
 
 
-def matched_categories(rubrics: DataFrame, rules: Sequence[CategoryRule], text: str = "text") -> DataFrame:
-    """Rubrics with the array of matching categories (2 per keyword, -2 per anti-keyword).
+def categories_of(text: Column, rules: Sequence[CategoryRule]) -> Column:
+    """Array of matching categories (2 per keyword, -2 per anti-keyword).
 
-    Rules are expressions, not a join.  The normalised text and the hit counts
-    are columns of their own, so each is computed once per row.
+    One self-contained expression: the normalised text and the counts are bound
+    once, so a predicate pushed below it repeats it at most once.
     """
     ordered = sorted(rules, key=lambda r: r.priority)
-    low = rubrics.withColumn("_low", F.lower(T.squeeze(F.col(text))))
-    counts = {}
-    for i, r in enumerate(ordered):
-        counts[f"_h{i}"] = _hits(F.col("_low"), r.keywords)
-        counts[f"_n{i}"] = _hits(F.col("_low"), r.anti_keywords)
-    counted = low.withColumns(counts)
-    cells = F.array(*[
-        F.struct(
-            F.lit(r.category_id).alias("category_id"), F.lit(r.family).alias("family"),
-            F.lit(r.min_hits).alias("min_hits"), F.col(f"_h{i}").alias("hits"),
-            ((F.col(f"_h{i}") - F.col(f"_n{i}")) * 2).alias("score"),
-        )
-        for i, r in enumerate(ordered)
-    ])
-    found = F.filter(cells, lambda m: (m["hits"] >= m["min_hits"]) & (m["score"] > 0))
-    return counted.withColumn("categories", found).drop("_low", *counts)
+
+    def counts(low: Column) -> Column:
+        return F.array(*[
+            F.struct(
+                F.lit(r.category_id).alias("category_id"), F.lit(r.family).alias("family"),
+                F.lit(r.min_hits).alias("min_hits"), _hits(low, r.keywords).alias("hits"),
+                _hits(low, r.anti_keywords).alias("anti"),
+            )
+            for r in ordered
+        ])
+
+    cells = T.let(F.lower(T.squeeze(text)), counts)
+    matches = F.filter(cells, lambda m: (m["hits"] >= m["min_hits"]) & (m["hits"] > m["anti"]))
+    return F.transform(matches, lambda m: F.struct(
+        m["category_id"].alias("category_id"), m["family"].alias("family"), m["hits"].alias("hits"),
+        ((m["hits"] - m["anti"]) * 2).alias("score"),
+    ))
+
+
+def matched_categories(rubrics: DataFrame, rules: Sequence[CategoryRule], text: str = "text") -> DataFrame:
+    """Rubrics with their matching categories; rules are expressions, not a join."""
+    return rubrics.withColumn("categories", categories_of(F.col(text), rules))
 
 
 def representative_score(m: Column, words: Column) -> Column:
@@ -64,7 +70,9 @@ def representative_score(m: Column, words: Column) -> Column:
 
 def compress(matched: DataFrame, keys: Sequence[str], words: str = "word_count") -> DataFrame:
     """Per category: members, representative (argmax, first wins) and coverage."""
-    members = matched.select("*", F.explode("categories").alias("m")).select(
+    # outer + null filter: a plain explode would re-evaluate the array as a filter in the scan
+    exploded = matched.select("*", F.explode_outer("categories").alias("m")).where(F.col("m").isNotNull())
+    members = exploded.select(
         *keys, "rubric_id", "depth", "coverage_count",
         F.col("m.category_id").alias("category_id"), F.col("m.family").alias("family"),
         F.round(representative_score(F.col("m"), F.col(words)), 9).alias("rep_score"),

@@ -44,7 +44,8 @@ def align(prompts: DataFrame, key: str = "prompt_id") -> DataFrame:
         lambda e, i: F.struct(i.alias("expert_index"), e["family"].alias("family"), e["points"].alias("points"),
                               e["polarity"].alias("polarity"), best_match(e, F.col("generated")).alias("best")),
     )
-    flat = prompts.select(key, "generated", F.explode(rows).alias("r"))
+    # outer + null filter: a plain explode would evaluate the matching a second time in a filter
+    flat = prompts.select(key, "generated", F.explode_outer(rows).alias("r")).where(F.col("r").isNotNull())
     score = F.coalesce(F.col("r.best.score"), F.lit(0.0))
     label = F.when(score >= DIRECT, "direct").when(score >= PARTIAL, "partial").otherwise("none")
     index = F.when(label != "none", -F.col("r.best.neg"))
@@ -60,8 +61,8 @@ def assess_generated(prompts: DataFrame, alignment: DataFrame, key: str = "promp
     """aligned / broader_but_valid / valid_extra / off_target per generated criterion."""
     listed = prompts.select(
         key, F.array_distinct(F.transform("experts", lambda e: e["family"])).alias("_fams"),
-        F.posexplode("generated").alias("generated_index", "g"),
-    )
+        F.posexplode_outer("generated").alias("generated_index", "g"),
+    ).where(F.col("g").isNotNull())
     hits = alignment.where(F.col("generated_index").isNotNull()).groupBy(key, "generated_index").agg(
         F.count(F.lit(1)).alias("matched")
     )

@@ -78,9 +78,9 @@ def cosine_top_k(queries: DataFrame, index: DataFrame, k: int, query_id: str = "
 
 
 def term_counts(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    # outer + null filter keeps the tokeniser from running twice (once in an inferred filter)
+    terms = docs.select(F.col(doc_id).alias("doc_id"), F.explode_outer(tokens).alias("term"))
+    return terms.where(F.col("term").isNotNull()).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf_top_k(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -98,9 +98,7 @@ def tfidf_top_k(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     idf = (F.log(F.lit(float(n + 1)) / (F.coalesce(F.col("df"), F.lit(0)) + 1)) + 1.0)
     weighted = dt.join(df, "term").select("doc_id", "term", (F.col("tf") * idf).alias("w"))
     norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    qt = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    qt = term_counts(queries, "query_id", F.col("tokens")).withColumnRenamed("doc_id", "query_id")
     qw = qt.join(df, "term", "left").select("query_id", "term", (F.col("tf") * idf).alias("qw"))
     qn = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     wanted = qw.select("term").distinct()

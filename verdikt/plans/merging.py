@@ -260,7 +260,8 @@ SELECT *, CASE WHEN category_count > 1 OR source_member_count > 1 THEN 'merged'
 FROM h JOIN d USING (example_id, group_id)""")
 def production_groups(spark, folder):
     bank = rubric_bank(spark, folder)
-    members = bank.select("example_id", "rubric_id", F.explode("categories.category_id").alias("category_id"))
+    members = bank.select("example_id", "rubric_id", F.explode_outer("categories.category_id").alias("category_id"))
+    members = members.where(F.col("category_id").isNotNull())
     return K.production_bank(K.compress(bank, ["example_id"]), GROUPS, ["example_id"], members)
 
 
