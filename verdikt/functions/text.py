@@ -16,8 +16,9 @@ SPACE_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The \x{..} form is read alike by Java and by RE2.
-SPACE = (
+# Java form (Unicode-aware \s plus the separators Python adds) and the same set for RE2.
+SPACE = r"(?U)[\s\x1C-\x1F]"
+RE2_SPACE = (
     r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -111,10 +112,10 @@ def joined_context(*cols: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
-    """Jaccard of two token sets; ``empty`` is the value for two empty sets."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(empty)).otherwise(
-        F.size(F.array_intersect(a, b)) / F.greatest(union, F.lit(1))
+    """Jaccard of two token sets (distinct arrays); ``empty`` is for two empty sets."""
+    both = F.size(a) + F.size(b)
+    return F.when(both == 0, F.lit(empty)).otherwise(
+        let(F.size(F.array_intersect(a, b)), lambda n: n / (both - n))
     )
 
 

@@ -23,8 +23,13 @@ class CategoryRule:
     min_hits: int = 1
 
 
-def _hits(low: Column, words: Sequence[str]) -> Column:
-    return sum((T.has_phrase(low, w.lower()).cast("int") for w in words), F.lit(0))
+def _hits(v: Column, words: Sequence[str]) -> Column:
+    """Phrases found; a single [a-z0-9] word is a token lookup, others are patterns."""
+    def found(w: str) -> Column:
+        plain = w.isascii() and w.isalnum()
+        return F.array_contains(v["tokens"], w) if plain else T.has_phrase(v["low"], w)
+
+    return sum((found(w.lower()).cast("int") for w in words), F.lit(0))
 
 
 def categories_of(text: Column, rules: Sequence[CategoryRule]) -> Column:
@@ -35,17 +40,18 @@ def categories_of(text: Column, rules: Sequence[CategoryRule]) -> Column:
     """
     ordered = sorted(rules, key=lambda r: r.priority)
 
-    def counts(low: Column) -> Column:
+    def counts(v: Column) -> Column:
         return F.array(*[
             F.struct(
                 F.lit(r.category_id).alias("category_id"), F.lit(r.family).alias("family"),
-                F.lit(r.min_hits).alias("min_hits"), _hits(low, r.keywords).alias("hits"),
-                _hits(low, r.anti_keywords).alias("anti"),
+                F.lit(r.min_hits).alias("min_hits"), _hits(v, r.keywords).alias("hits"),
+                _hits(v, r.anti_keywords).alias("anti"),
             )
             for r in ordered
         ])
 
-    cells = T.let(F.lower(T.squeeze(text)), counts)
+    view = T.let(F.lower(T.squeeze(text)), lambda low: F.struct(low.alias("low"), T.token_set(low).alias("tokens")))
+    cells = T.let(view, counts)
     matches = F.filter(cells, lambda m: (m["hits"] >= m["min_hits"]) & (m["hits"] > m["anti"]))
     return F.transform(matches, lambda m: F.struct(
         m["category_id"].alias("category_id"), m["family"].alias("family"), m["hits"].alias("hits"),

@@ -4,51 +4,81 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from verdikt.functions.text import jaccard, ratio
+from verdikt.functions.text import ratio
 from verdikt.operators.running import top_k
 
 DIRECT, PARTIAL, FAMILY_BONUS = 0.55, 0.30, 0.2     # fixed values
 
 
-def best_match(expert: Column, generated: Column) -> Column:
-    """Best generated criterion for one expert criterion; the first index wins ties.
+def _incidence(token_lists, ids: dict) -> np.ndarray:
+    grid = np.zeros((len(token_lists), max(1, len(ids))), dtype=np.float32)
+    for i, toks in enumerate(token_lists):
+        grid[i, [ids[t] for t in toks if t in ids]] = 1.0
+    return grid
 
-    Both arguments belong to one prompt's row: ``expert`` is
-    struct(tokens, family), ``generated`` the array of such structs.
+
+def match_lists(experts, generated) -> list[tuple[float, int]]:
+    """Best (score, generated index) per expert criterion; the first index wins ties.
+
+    Intersections of one prompt's two lists come from one matrix product.
     """
-    scored = F.transform(
-        generated,
-        lambda g, i: F.struct(
-            F.round(
-                jaccard(expert["tokens"], g["tokens"])
-                + F.when((expert["family"] == g["family"]) & (expert["family"] != "other"), FAMILY_BONUS).otherwise(0.0),
-                9,
-            ).alias("score"),
-            (-i).alias("neg"),
-        ),
+    if not len(experts):
+        return []
+    if not len(generated):
+        return [(0.0, -1)] * len(experts)
+    ids: dict = {}
+    for g in generated:
+        for t in g["tokens"]:
+            ids.setdefault(t, len(ids))
+    inter = (_incidence([e["tokens"] for e in experts], ids) @ _incidence([g["tokens"] for g in generated], ids).T)
+    inter = inter.astype(np.float64)
+    union = (
+        np.array([len(e["tokens"]) for e in experts], dtype=float)[:, None]
+        + np.array([len(g["tokens"]) for g in generated], dtype=float)[None, :] - inter
     )
-    return F.array_max(F.filter(scored, lambda s: s["score"] > 0))
+    ef, gf = np.array([e["family"] for e in experts]), np.array([g["family"] for g in generated])
+    bonus = np.where((ef[:, None] == gf[None, :]) & (ef != "other")[:, None], FAMILY_BONUS, 0.0)
+    score = np.round(inter / np.maximum(union, 1.0) + bonus, 9)
+    best = score.argmax(axis=1)
+    top = score[np.arange(len(experts)), best]
+    return [(float(s), int(i) if s > 0 else -1) for s, i in zip(top, best)]
+
+
+BEST = ArrayType(StructType([StructField("score", DoubleType()), StructField("index", IntegerType())]))
+
+
+@F.pandas_udf(BEST)
+def best_matches(experts: pd.Series, generated: pd.Series) -> pd.Series:
+    return pd.Series([match_lists(e, g) for e, g in zip(experts, generated)])
 
 
 def align(prompts: DataFrame, key: str = "prompt_id") -> DataFrame:
     """One row per expert criterion: match label and matched generated index.
 
-    ``prompts``: key, experts array<struct<tokens, family, ...>>, generated likewise.
-    A prompt's lists are one row, so the best match is found without a join.
+    ``prompts``: key, experts array<struct<tokens, family, points, polarity>>,
+    generated array<struct<tokens, family, polarity>>.  A prompt's lists are one
+    row, so the best match needs no join and no pair becomes a row.
     """
+    def slim(c: str) -> Column:
+        return F.transform(c, lambda x: F.struct(x["tokens"].alias("tokens"), x["family"].alias("family")))
+
+    found = prompts.withColumn("best", best_matches(slim("experts"), slim("generated")))
     rows = F.transform(
         "experts",
         lambda e, i: F.struct(i.alias("expert_index"), e["family"].alias("family"), e["points"].alias("points"),
-                              e["polarity"].alias("polarity"), best_match(e, F.col("generated")).alias("best")),
+                              e["polarity"].alias("polarity"), F.col("best")[i].alias("best")),
     )
-    # outer + null filter: a plain explode would evaluate the matching a second time in a filter
-    flat = prompts.select(key, "generated", F.explode_outer(rows).alias("r")).where(F.col("r").isNotNull())
-    score = F.coalesce(F.col("r.best.score"), F.lit(0.0))
+    # outer + null filter: a plain explode would evaluate the array a second time in a filter
+    flat = found.select(key, "generated", F.explode_outer(rows).alias("r")).where(F.col("r").isNotNull())
+    score = F.col("r.best.score")
     label = F.when(score >= DIRECT, "direct").when(score >= PARTIAL, "partial").otherwise("none")
-    index = F.when(label != "none", -F.col("r.best.neg"))
+    index = F.when(label != "none", F.col("r.best.index"))
     return flat.select(
         key, F.col("r.expert_index").alias("expert_index"), F.col("r.family").alias("family"),
         F.col("r.points").alias("points"), label.alias("match_label"), index.alias("generated_index"),

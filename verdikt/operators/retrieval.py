@@ -83,36 +83,70 @@ def term_counts(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
     return terms.where(F.col("term").isNotNull()).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_top_k(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Top-k documents per query by TF-IDF cosine.
-
-    ``queries``: query_id, tokens; ``docs``: doc_id, tokens (optionally family on
-    both: then only the same family is searched).  idf = ln((N+1)/(df+1)) + 1.
-    Document weights are laid out by document, so the per-pair sums need no
-    further shuffle; the top-k is cut on the map side.
+def _score_cell(docs: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """k best documents per query within one cell, from (id, term, weight) rows."""
+    if docs.empty or asked.empty:
+        return pd.DataFrame({"query_id": [], "doc_id": [], "similarity": []})
+    queries, qpos = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
+    terms, tpos = np.unique(asked["term"].to_numpy(dtype=object).astype(str), return_inverse=True)
+    matrix = np.zeros((len(terms), len(queries)))
+    matrix[tpos, qpos] = asked["w"].to_numpy()
+    at = pd.Index(terms).get_indexer(docs["term"].to_numpy(dtype=object).astype(str))
+    live = at >= 0
+    ids, dpos = np.unique(docs["doc_id"].to_numpy()[live], return_inverse=True)
+    order = np.argsort(dpos, kind="stable")
+    at, weight, dpos = at[live][order], docs["w"].to_numpy()[live][order], dpos[order]
+    best_sim = np.empty((len(queries), 0))
+    best_id = np.empty((len(queries), 0), dtype=ids.dtype)
+    bounds = np.searchsorted(dpos, np.arange(0, len(ids) + 256, 256))
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        if lo == hi:
+            continue
+        local, start = np.unique(dpos[lo:hi], return_index=True)
+        sums = np.add.reduceat(matrix[at[lo:hi]] * weight[lo:hi, None], start, axis=0).T
+        sims = np.concatenate([best_sim, np.round(sums, 9)], axis=1)
+        names = np.concatenate([best_id, np.broadcast_to(ids[local], sums.shape)], axis=1)
+        keep = np.lexsort((names, -sims), axis=1)[:, :k]
+        best_sim, best_id = np.take_along_axis(sims, keep, 1), np.take_along_axis(names, keep, 1)
+    out = pd.DataFrame({
+        "query_id": np.repeat(queries, best_sim.shape[1]), "doc_id": best_id.ravel(), "similarity": best_sim.ravel(),
+    })
+    return out[out["similarity"] > 0]
+
+
+def tfidf_top_k(queries: DataFrame, docs: DataFrame, k: int, query_rows: int = 512,
+                doc_rows: int = 20_000) -> DataFrame:
+    """Top-k documents per query by TF-IDF cosine, idf = ln((N+1)/(df+1)) + 1.
+
+    ``queries``: query_id, tokens; ``docs``: doc_id, tokens.  Unit-length term
+    weights are cut into a grid of (query block, document slice) cells of bounded
+    size; each cell sums its products in one pass and keeps k rows per query, so
+    query-document pairs never become rows.  Only terms some query asks for leave
+    the weighting step.
     """
-    family = "family" in queries.columns and "family" in docs.columns
     n = docs.count()
+    blocks = max(1, -(-queries.count() // query_rows))
+    slices = max(1, -(-n // doc_rows))
     dt = term_counts(docs, "doc_id", F.col("tokens"))
     df = dt.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = (F.log(F.lit(float(n + 1)) / (F.coalesce(F.col("df"), F.lit(0)) + 1)) + 1.0)
-    weighted = dt.join(df, "term").select("doc_id", "term", (F.col("tf") * idf).alias("w"))
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+    idf = F.log(F.lit(float(n + 1)) / (F.coalesce(F.col("df"), F.lit(0)) + 1)) + 1.0
     qt = term_counts(queries, "query_id", F.col("tokens")).withColumnRenamed("doc_id", "query_id")
-    qw = qt.join(df, "term", "left").select("query_id", "term", (F.col("tf") * idf).alias("qw"))
-    qn = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    wanted = qw.select("term").distinct()
-    # only terms some query asks for travel on; then lay rows out by document
-    useful = weighted.join(wanted, "term", "left_semi").repartition("doc_id")
-    dots = useful.join(qw, "term").groupBy("doc_id", "query_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    sims = dots.join(norms, "doc_id").join(qn, "query_id").select(
-        "query_id", "doc_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 9).alias("similarity")
-    ).where(F.col("similarity") > 0)
-    if family:
-        sims = sims.join(docs.select("doc_id", "family"), "doc_id").join(
-            queries.select("query_id", F.col("family").alias("qf")), "query_id"
-        ).where(F.col("family") == F.col("qf")).drop("family", "qf")
-    return top_k(sims, ["query_id"], [F.col("similarity").desc(), F.col("doc_id").asc()], k)
+
+    def unit(rows: DataFrame, key: str) -> DataFrame:
+        norm = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
+        return rows.join(norm, key).select(key, "term", (F.col("w") / F.col("_n")).alias("w"))
+
+    dw = unit(dt.join(df, "term").select("doc_id", "term", (F.col("tf") * idf).alias("w")), "doc_id")
+    qw = unit(qt.join(df, "term", "left").select("query_id", "term", (F.col("tf") * idf).alias("w")), "query_id")
+    dw = dw.join(qt.select("term").distinct(), "term", "left_semi")
+    spread = lambda ident, parts: F.pmod(F.xxhash64(ident), F.lit(parts)).cast("int")
+    left = dw.select("*", spread("doc_id", slices).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    right = qw.select("*", spread("query_id", blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"))
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((queries, "query_id"), (docs, "doc_id"))]
+    scored = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(
+        lambda a, b: _score_cell(a, b, k), f"query_id {kinds[0]}, doc_id {kinds[1]}, similarity double"
+    )
+    return top_k(scored, ["query_id"], [F.col("similarity").desc(), F.col("doc_id").asc()], k)
 
 
 def diverse_top_k(scored: DataFrame, keys: Sequence[str], signature: str, order: Sequence[Column], k: int) -> DataFrame:
