@@ -110,6 +110,10 @@ def assess_generated(prompts: DataFrame, alignment: DataFrame, key: str = "promp
 def expert_metrics(alignment: DataFrame, assessed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Recall, precision and polarity accuracy; keys choose example or overall level."""
     keys = list(keys)
+    if not keys:
+        one = F.lit(0)
+        whole = expert_metrics(alignment.withColumn("_all", one), assessed.withColumn("_all", one), ["_all"])
+        return whole.drop("_all")
     hit = F.col("match_label").isin("direct", "partial")
     weight = F.abs("points").cast("bigint")
     e = alignment.groupBy(*keys).agg(
@@ -126,7 +130,7 @@ def expert_metrics(alignment: DataFrame, assessed: DataFrame, keys: Sequence[str
         F.count(F.lit(1)).alias("generated_total"), n("aligned").alias("aligned"),
         n("broader_but_valid").alias("broader"), n("valid_extra").alias("extra"), n("off_target").alias("off_target"),
     )
-    both = e.join(g, keys, "left") if keys else e.join(F.broadcast(g), F.lit(True))
+    both = e.join(g, keys, "left")
     zero = F.lit(0)
     filled = both.withColumns({c: F.coalesce(c, zero) for c in ("generated_total", "aligned", "broader", "extra", "off_target")})
     return filled.select(

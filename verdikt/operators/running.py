@@ -99,10 +99,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequ
     Values are first folded into a histogram; the running count then finds the
     two order statistics around each target position.
     """
+    if not keys:
+        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, points, max_rows).drop("_all")
     folded = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     seen = running_totals(folded, keys, [F.col(value).asc()], {"_upto": F.col("_n")}, max_rows)
     totals = folded.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    joined = seen.join(totals, list(keys)) if keys else seen.join(F.broadcast(totals), F.lit(True))
+    joined = seen.join(totals, list(keys))
     ends = []
     for i, q in enumerate(points):
         at = F.lit(float(q)) * (F.col("_total") - 1)
