@@ -154,10 +154,9 @@ def test_tfidf_grid_matches_brute_force(spark, cells):
 
 
 def test_best_match_first_index_wins():
-    e = [{"tokens": ["alpha", "beta"], "family": "other"}, {"tokens": [], "family": "x"}]
-    g = [{"tokens": ["gamma"], "family": "y"}, {"tokens": ["alpha", "beta"], "family": "z"},
-         {"tokens": ["alpha", "beta"], "family": "other"}]
-    assert E.match_lists(e, g) == [(1.0, 1), (0.0, -1)]
+    got = E.match_lists([["alpha", "beta"], []], ["other", "x"], [["gamma"], ["alpha", "beta"], ["alpha", "beta"]],
+                        ["y", "z", "other"])
+    assert got == [(1.0, 1), (0.0, -1)]
 
 
 def test_worklist_gate_and_reasons():

@@ -23,30 +23,29 @@ def _incidence(token_lists, ids: dict) -> np.ndarray:
     return grid
 
 
-def match_lists(experts, generated) -> list[tuple[float, int]]:
+def match_lists(expert_tokens, expert_family, made_tokens, made_family) -> list[tuple[float, int]]:
     """Best (score, generated index) per expert criterion; the first index wins ties.
 
     Intersections of one prompt's two lists come from one matrix product.
     """
-    if not len(experts):
+    if not len(expert_tokens):
         return []
-    if not len(generated):
-        return [(0.0, -1)] * len(experts)
+    if not len(made_tokens):
+        return [(0.0, -1)] * len(expert_tokens)
     ids: dict = {}
-    for g in generated:
-        for t in g["tokens"]:
+    for toks in made_tokens:
+        for t in toks:
             ids.setdefault(t, len(ids))
-    inter = (_incidence([e["tokens"] for e in experts], ids) @ _incidence([g["tokens"] for g in generated], ids).T)
-    inter = inter.astype(np.float64)
+    inter = (_incidence(expert_tokens, ids) @ _incidence(made_tokens, ids).T).astype(np.float64)
     union = (
-        np.array([len(e["tokens"]) for e in experts], dtype=float)[:, None]
-        + np.array([len(g["tokens"]) for g in generated], dtype=float)[None, :] - inter
+        np.array([len(t) for t in expert_tokens], dtype=float)[:, None]
+        + np.array([len(t) for t in made_tokens], dtype=float)[None, :] - inter
     )
-    ef, gf = np.array([e["family"] for e in experts]), np.array([g["family"] for g in generated])
+    ef, gf = np.asarray(expert_family), np.asarray(made_family)
     bonus = np.where((ef[:, None] == gf[None, :]) & (ef != "other")[:, None], FAMILY_BONUS, 0.0)
     score = np.round(inter / np.maximum(union, 1.0) + bonus, 9)
     best = score.argmax(axis=1)
-    top = score[np.arange(len(experts)), best]
+    top = score[np.arange(len(best)), best]
     return [(float(s), int(i) if s > 0 else -1) for s, i in zip(top, best)]
 
 
@@ -54,87 +53,102 @@ BEST = ArrayType(StructType([StructField("score", DoubleType()), StructField("in
 
 
 @F.pandas_udf(BEST)
-def best_matches(experts: pd.Series, generated: pd.Series) -> pd.Series:
-    return pd.Series([match_lists(e, g) for e, g in zip(experts, generated)])
+def best_matches(et: pd.Series, ef: pd.Series, gt: pd.Series, gf: pd.Series) -> pd.Series:
+    return pd.Series([match_lists(*row) for row in zip(et, ef, gt, gf)])
 
 
-def align(prompts: DataFrame, key: str = "prompt_id") -> DataFrame:
-    """One row per expert criterion: match label and matched generated index.
+def aligned(prompts: DataFrame) -> DataFrame:
+    """Prompts with ``matches`` (one per expert) and ``assessed`` (one per generated).
 
-    ``prompts``: key, experts array<struct<tokens, family, points, polarity>>,
-    generated array<struct<tokens, family, polarity>>.  A prompt's lists are one
-    row, so the best match needs no join and no pair becomes a row.
+    ``prompts`` carries experts array<struct<tokens, family, points, polarity>>
+    and generated array<struct<tokens, family, polarity>>.  A prompt's lists are
+    one row, so alignment needs no join and no pair becomes a row.
     """
-    def slim(c: str) -> Column:
-        return F.transform(c, lambda x: F.struct(x["tokens"].alias("tokens"), x["family"].alias("family")))
-
-    found = prompts.withColumn("best", best_matches(slim("experts"), slim("generated")))
-    rows = F.transform(
-        "experts",
-        lambda e, i: F.struct(i.alias("expert_index"), e["family"].alias("family"), e["points"].alias("points"),
-                              e["polarity"].alias("polarity"), F.col("best")[i].alias("best")),
-    )
-    # outer + null filter: a plain explode would evaluate the array a second time in a filter
-    flat = found.select(key, "generated", F.explode_outer(rows).alias("r")).where(F.col("r").isNotNull())
-    score = F.col("r.best.score")
-    label = F.when(score >= DIRECT, "direct").when(score >= PARTIAL, "partial").otherwise("none")
-    index = F.when(label != "none", F.col("r.best.index"))
-    return flat.select(
-        key, F.col("r.expert_index").alias("expert_index"), F.col("r.family").alias("family"),
-        F.col("r.points").alias("points"), label.alias("match_label"), index.alias("generated_index"),
-        F.when(index.isNotNull(), F.element_at("generated", index + 1)["polarity"] == F.col("r.polarity"))
-        .alias("polarity_match"),
+    def part(c: str, name: str) -> Column:
+        return F.transform(c, lambda x: x[name])
+
+    found = prompts.withColumn(
+        "_best", best_matches(part("experts", "tokens"), part("experts", "family"),
+                              part("generated", "tokens"), part("generated", "family")),
+    ).withColumns({
+        "_made": F.transform("generated", lambda g: F.struct(g["family"].alias("family"), g["polarity"].alias("polarity"))),
+        "_ef": F.array_distinct(part("experts", "family")),
+    })
+
+    def match(e: Column, i: Column) -> Column:
+        b = F.col("_best")[i]
+        label = F.when(b["score"] >= DIRECT, "direct").when(b["score"] >= PARTIAL, "partial").otherwise("none")
+        index = F.when(b["score"] >= PARTIAL, b["index"])
+        return F.struct(
+            i.alias("expert_index"), e["family"].alias("family"), e["points"].alias("points"),
+            label.alias("match_label"), index.alias("generated_index"),
+            F.when(index.isNotNull(), F.col("_made")[index]["polarity"] == e["polarity"]).alias("polarity_match"),
+        )
+
+    out = found.withColumn("matches", F.transform("experts", match)).withColumn(
+        "_hit", F.transform("matches", lambda m: m["generated_index"])
     )
 
+    def assess(g: Column, i: Column) -> Column:
+        fam = g["family"]
+        label = (
+            F.when(F.exists("_hit", lambda h: h == i), "aligned")
+            .when(F.array_contains("_ef", fam) & (fam != "other"), "broader_but_valid")
+            .when(fam == "other", "off_target").otherwise("valid_extra")
+        )
+        return F.struct(i.alias("generated_index"), fam.alias("family"), label.alias("precision_label"))
+
+    return out.withColumn("assessed", F.transform("_made", assess)).drop("_best", "_made", "_ef", "_hit", "experts", "generated")
+
+
+def _listed(rows: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    # outer + null filter: a plain explode would evaluate the array again as a filter
+    return rows.select(*keys, F.explode_outer(column).alias("r")).where(F.col("r").isNotNull()).select(*keys, "r.*")
+
+
+def match_rows(rows: DataFrame, keys: Sequence[str] = ("prompt_id",)) -> DataFrame:
+    return _listed(rows, keys, "matches")
 
-def assess_generated(prompts: DataFrame, alignment: DataFrame, key: str = "prompt_id") -> DataFrame:
+
+def assessment_rows(rows: DataFrame, keys: Sequence[str] = ("prompt_id",)) -> DataFrame:
     """aligned / broader_but_valid / valid_extra / off_target per generated criterion."""
-    listed = prompts.select(
-        key, F.array_distinct(F.transform("experts", lambda e: e["family"])).alias("_fams"),
-        F.posexplode_outer("generated").alias("generated_index", "g"),
-    ).where(F.col("g").isNotNull())
-    hits = alignment.where(F.col("generated_index").isNotNull()).groupBy(key, "generated_index").agg(
-        F.count(F.lit(1)).alias("matched")
-    )
-    fam = F.col("g.family")
-    label = (
-        F.when(F.col("matched").isNotNull(), "aligned")
-        .when(F.array_contains("_fams", fam) & (fam != "other"), "broader_but_valid")
-        .when(fam == "other", "off_target").otherwise("valid_extra")
-    )
-    return listed.join(hits, [key, "generated_index"], "left").select(
-        key, "generated_index", fam.alias("family"), label.alias("precision_label")
-    )
+    return _listed(rows, keys, "assessed")
 
 
-def expert_metrics(alignment: DataFrame, assessed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Recall, precision and polarity accuracy; keys choose example or overall level."""
-    keys = list(keys)
-    if not keys:
-        one = F.lit(0)
-        whole = expert_metrics(alignment.withColumn("_all", one), assessed.withColumn("_all", one), ["_all"])
-        return whole.drop("_all")
-    hit = F.col("match_label").isin("direct", "partial")
-    weight = F.abs("points").cast("bigint")
-    e = alignment.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("expert_total"), F.count(F.when(hit, 1)).alias("matched"),
-        F.count(F.when(F.col("match_label") == "direct", 1)).alias("direct"),
-        F.sum(F.when(hit, weight).otherwise(0)).alias("matched_weight"), F.sum(weight).alias("weight"),
-        F.count("polarity_match").alias("polarity_n"), F.count(F.when(F.col("polarity_match"), 1)).alias("polarity_ok"),
-    )
+def prompt_counts(rows: DataFrame) -> DataFrame:
+    """Integer counts of one prompt; every report level is a sum of these."""
+    def n(c: str, test=None) -> Column:
+        return F.size(c if test is None else F.filter(c, test)).cast("bigint")
 
-    def n(label: str) -> Column:
-        return F.count(F.when(F.col("precision_label") == label, 1))
+    def weight(test) -> Column:
+        return F.aggregate(F.filter("matches", test), F.lit(0).cast("bigint"),
+                           lambda acc, m: acc + F.abs(m["points"]).cast("bigint"))
 
-    g = assessed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("generated_total"), n("aligned").alias("aligned"),
-        n("broader_but_valid").alias("broader"), n("valid_extra").alias("extra"), n("off_target").alias("off_target"),
-    )
-    both = e.join(g, keys, "left")
-    zero = F.lit(0)
-    filled = both.withColumns({c: F.coalesce(c, zero) for c in ("generated_total", "aligned", "broader", "extra", "off_target")})
-    return filled.select(
-        *keys, "expert_total", "matched", "direct", "generated_total", "aligned", "off_target",
+    def labelled(value: str):
+        return lambda g: g["precision_label"] == value
+
+    hit = lambda m: m["match_label"] != "none"
+    return rows.withColumns({
+        "expert_total": n("matches"), "matched": n("matches", hit),
+        "direct": n("matches", lambda m: m["match_label"] == "direct"),
+        "matched_weight": weight(hit), "weight": weight(lambda m: F.lit(True)),
+        "polarity_n": n("matches", lambda m: m["polarity_match"].isNotNull()),
+        "polarity_ok": n("matches", lambda m: F.coalesce(m["polarity_match"], F.lit(False))),
+        "generated_total": n("assessed"),
+        **{name: n("assessed", labelled(value)) for name, value in (
+            ("aligned", "aligned"), ("broader", "broader_but_valid"), ("extra", "valid_extra"), ("off_target", "off_target"))},
+    }).drop("matches", "assessed")
+
+
+COUNTS = ("expert_total", "matched", "direct", "matched_weight", "weight", "polarity_n", "polarity_ok",
+          "generated_total", "aligned", "broader", "extra", "off_target")
+
+
+def expert_metrics(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Recall, precision and polarity accuracy; keys choose prompt, profile or overall level."""
+    s = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("examples"), *[F.sum(c).alias(c) for c in COUNTS])
+    return s.select(
+        *keys, "examples", "expert_total", "matched", "direct", "generated_total", "aligned", "off_target",
         ratio(F.col("matched_weight"), F.col("weight")).alias("weighted_recall"),
         ratio(F.col("matched"), F.col("expert_total")).alias("expert_recall"),
         ratio(F.col("aligned") + F.col("broader"), F.col("generated_total")).alias("precision"),
@@ -142,6 +156,19 @@ def expert_metrics(alignment: DataFrame, assessed: DataFrame, keys: Sequence[str
     )
 
 
+def gaps(rows: DataFrame, profile: str) -> DataFrame:
+    """Granularity gaps of both sides, from one pass over the aligned prompts."""
+    def gap(x: Column, side: str, kind: Column) -> Column:
+        return F.struct(x["family"].alias("family"), F.lit(side).alias("side"), kind.alias("gap_type"))
+
+    gold = F.transform(F.filter("matches", lambda m: m["match_label"] != "direct"), lambda m: gap(
+        m, "gold", F.when(m["match_label"] == "none", "missing_gold_criterion").otherwise("too_coarse")))
+    made = F.transform(F.filter("assessed", lambda g: g["precision_label"].isin("off_target", "valid_extra")), lambda g: gap(
+        g, "generated", F.when(g["precision_label"] == "off_target", "off_target").otherwise("too_granular")))
+    found = rows.select(F.col(profile).alias("profile"), F.concat(gold, made).alias("g"))
+    return _listed(found, ["profile"], "g")
+
+
 def family_coverage(alignment: DataFrame) -> DataFrame:
     hit = F.col("match_label").isin("direct", "partial")
     weight = F.abs("points").cast("bigint")

@@ -13,7 +13,7 @@ from verdikt.operators.scoring import REPORT_STRONG, WEAK
 
 
 def strong_vs_weak(ranking: DataFrame, keys: Sequence[str] = ("example_id",),
-                   max_rows: int | None = None) -> DataFrame:
+                   max_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """Pairs (strong, weak) ranked the right way round, and their mean margin.
 
     Walking down the ranking, each weak candidate adds the strong ones already
@@ -26,7 +26,7 @@ def strong_vs_weak(ranking: DataFrame, keys: Sequence[str] = ("example_id",),
     graded = ranking.where(strong | weak).select(
         *keys, "rank", "score", strong.cast("bigint").alias("is_strong")
     )
-    seen = running_totals(graded, keys, [F.col("rank").asc()], {"above": F.col("is_strong")}, max_rows)
+    seen = running_totals(graded, keys, [F.col("rank").asc()], {"above": F.col("is_strong")}, max_rows, at_most)
     s, w = F.col("is_strong") == 1, F.col("is_strong") == 0
     sums = seen.groupBy(*keys).agg(
         F.sum("is_strong").alias("strong_n"),
@@ -77,7 +77,7 @@ def anchor_preferences(ranking: DataFrame, keys: Sequence[str] = ("example_id",)
 
 
 def earlier_preferred(scored: DataFrame, keys: Sequence[str], levels: Sequence[float],
-                      max_rows: int | None = None) -> DataFrame:
+                      max_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """Agreement over all unordered pairs when the earlier candidate is labelled better.
 
     ``levels`` lists every possible score.  Running counts per level give, for
@@ -89,7 +89,7 @@ def earlier_preferred(scored: DataFrame, keys: Sequence[str], levels: Sequence[f
     }
     totals["seen"] = F.lit(1).cast("bigint")
     totals["score_sum"] = F.col("score")
-    run = running_totals(scored, keys, [F.col("candidate_id").asc()], totals, max_rows)
+    run = running_totals(scored, keys, [F.col("candidate_id").asc()], totals, max_rows, at_most)
     higher = sum(
         (F.when(F.lit(v) > F.col("score"), F.col(f"c{i}")).otherwise(0) for i, v in enumerate(levels)),
         F.lit(0).cast("bigint"),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdikt.operators.running import top_k
@@ -128,13 +128,15 @@ def tfidf_top_k(queries: DataFrame, docs: DataFrame, k: int, query_rows: int = 5
     blocks = max(1, -(-queries.count() // query_rows))
     slices = max(1, -(-n // doc_rows))
     dt = term_counts(docs, "doc_id", F.col("tokens"))
-    df = dt.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # the sum keeps tf in this branch, so it reads the same exchange as the weighting branch
+    df = dt.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_tf")).where("_tf > 0").drop("_tf")
     idf = F.log(F.lit(float(n + 1)) / (F.coalesce(F.col("df"), F.lit(0)) + 1)) + 1.0
     qt = term_counts(queries, "query_id", F.col("tokens")).withColumnRenamed("doc_id", "query_id")
 
     def unit(rows: DataFrame, key: str) -> DataFrame:
-        norm = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-        return rows.join(norm, key).select(key, "term", (F.col("w") / F.col("_n")).alias("w"))
+        # one text's terms form a window group: bounded by the longest text
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+        return rows.select(key, "term", (F.col("w") / norm).alias("w"))
 
     dw = unit(dt.join(df, "term").select("doc_id", "term", (F.col("tf") * idf).alias("w")), "doc_id")
     qw = unit(qt.join(df, "term", "left").select("query_id", "term", (F.col("tf") * idf).alias("w")), "query_id")

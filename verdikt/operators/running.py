@@ -32,10 +32,15 @@ def running_totals(
     order: Sequence[Column],
     totals: Mapping[str, Column],
     max_rows: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
-    """Add inclusive running totals per group; ``order`` must be a total order."""
+    """Add inclusive running totals per group; ``order`` must be a total order.
+
+    ``at_most`` is a known upper bound of a group's rows, such as the row count
+    of the table behind it: when it already fits, group sizes are not measured.
+    """
     limit = max_group_rows(df.sparkSession) if max_rows is None else max_rows
-    if largest_group(df, keys) <= limit:
+    if (at_most is not None and at_most <= limit) or largest_group(df, keys) <= limit:
         window = (
             Window.partitionBy(*keys)
             .orderBy(*order)
@@ -76,9 +81,9 @@ def _sliced_totals(df, keys, order, totals):
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank",
-           max_rows: int | None = None) -> DataFrame:
+           max_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """Distinct 1-based ranks per group under a total order."""
-    return running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, max_rows)
+    return running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, max_rows, at_most)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,

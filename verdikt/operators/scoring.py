@@ -118,10 +118,10 @@ def score_candidates(evals: DataFrame, weights: DataFrame, digits: int = 12) ->
 
 
 def rank_candidates(scores: DataFrame, keys: Sequence[str] = ("example_id",),
-                    max_rows: int | None = None) -> DataFrame:
+                    max_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """Distinct ranks by score, then satisfied count, then id."""
     order = [F.col("score").desc(), F.col("satisfied_count").desc(), F.col("candidate_id").asc()]
-    return ranked(scores, list(keys), order, "rank", max_rows)
+    return ranked(scores, list(keys), order, "rank", max_rows, at_most)
 
 
 # ------------------------------------------------------------- whitening

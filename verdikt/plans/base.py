@@ -88,6 +88,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df
 
 
+def row_bound(spark: SparkSession, folder: str, name: str = "documents") -> int:
+    """Rows of a table, read from the file footers: bounds any group of it."""
+    return spark.read.parquet(f"{folder}/{name}.parquet").count()
+
+
 def bucket() -> Column:
     return (
         F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "gold_like")

@@ -331,25 +331,19 @@ def prompts(spark, folder):
 
 
 def aligned(spark, folder):
-    """Alignment rows and generated assessments, tagged with the profile."""
-    p = prompts(spark, folder)
-    tag = docs(spark, folder).select(F.col("doc_id").alias("prompt_id"), "lang")
-    alignment = E.align(p)
-    assessed = E.assess_generated(p, alignment)
-    return alignment.join(tag, "prompt_id"), assessed.join(tag, "prompt_id")
+    return E.aligned(prompts(spark, folder))
 
 
 @query("expert_alignment", f"""WITH {SQL_EXPERTS}
 SELECT doc_id AS prompt_id, expert_index::INT AS expert_index, family, points::INT AS points, match_label, generated_index::INT AS generated_index, polarity_match FROM al""")
 def expert_alignment(spark, folder):
-    return E.align(prompts(spark, folder))
+    return E.match_rows(aligned(spark, folder))
 
 
 @query("generated_assessment", f"""WITH {SQL_EXPERTS}
 SELECT doc_id AS prompt_id, generated_index::INT AS generated_index, family, precision_label FROM asg""")
 def generated_assessment(spark, folder):
-    p = prompts(spark, folder)
-    return E.assess_generated(p, E.align(p))
+    return E.assessment_rows(aligned(spark, folder))
 
 
 SQL_METRICS = """e AS (SELECT lang AS profile, count(*) AS expert_total, count(*) FILTER (match_label <> 'none') AS matched, count(*) FILTER (match_label = 'direct') AS direct,
@@ -364,8 +358,8 @@ SELECT e.profile, expert_total, matched, direct, coalesce(generated_total, 0) AS
   round(coalesce((aligned + broader) / nullif(generated_total, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(po / nullif(pn, 0)::DOUBLE, 0), 6) AS polarity_accuracy
 FROM e LEFT JOIN g USING (profile)""")
 def expert_recall(spark, folder):
-    alignment, assessed = aligned(spark, folder)
-    out = E.expert_metrics(alignment.withColumnRenamed("lang", "profile"), assessed.withColumnRenamed("lang", "profile"), ["profile"])
+    counts = E.prompt_counts(aligned(spark, folder)).withColumnRenamed("lang", "profile")
+    out = E.expert_metrics(counts, ["profile"]).drop("examples")
     rates = ("weighted_recall", "expert_recall", "precision", "polarity_accuracy")
     return out.select(*[F.round(c, 6).alias(c) if c in rates else F.col(c) for c in out.columns])
 
@@ -376,7 +370,7 @@ SELECT family, count(*) AS expert_count, sum(abs(points))::BIGINT AS expert_weig
   round(coalesce(sum(abs(points)) FILTER (match_label <> 'none'), 0) / sum(abs(points))::DOUBLE, 6) AS weighted_recall,
   round(count(*) FILTER (match_label <> 'none') / count(*)::DOUBLE, 6) AS expert_recall FROM al GROUP BY family""")
 def family_coverage(spark, folder):
-    out = E.family_coverage(E.align(prompts(spark, folder)))
+    out = E.family_coverage(E.match_rows(aligned(spark, folder)))
     return out.withColumns({c: F.round(c, 6) for c in ("weighted_recall", "expert_recall")})
 
 
@@ -387,17 +381,7 @@ SQL_GAPS = """gaps AS (
 
 
 def gap_rows(spark, folder):
-    alignment, assessed = aligned(spark, folder)
-    gold = alignment.where(F.col("match_label") != "direct").select(
-        F.col("lang").alias("profile"), "family", F.lit("gold").alias("side"),
-        F.when(F.col("match_label") == "none", "missing_gold_criterion").otherwise("too_coarse").alias("gap_type"),
-    )
-    label = F.col("precision_label")
-    made = assessed.where(label.isin("off_target", "valid_extra")).select(
-        F.col("lang").alias("profile"), "family", F.lit("generated").alias("side"),
-        F.when(label == "off_target", "off_target").otherwise("too_granular").alias("gap_type"),
-    )
-    return gold.unionByName(made)
+    return E.gaps(aligned(spark, folder), "lang")
 
 
 @query("granularity_gaps", f"""WITH {SQL_EXPERTS}, {SQL_GAPS}
@@ -440,14 +424,9 @@ SELECT profile, examples AS examples_scored, profile <> 'es' AND examples >= 5 A
   round(wr, 6) AS d_weighted_recall, round(er, 6) AS d_expert_recall, round(pr, 6) AS d_precision, ot AS d_off_target FROM d""")
 def profile_policy(spark, folder):
     """Baseline against applied run (even and odd prompts) per profile."""
-    alignment, assessed = aligned(spark, folder)
-    run = (F.col("prompt_id") % 2).alias("run")
-    keys = ["profile", "run"]
-    al = alignment.select("*", F.col("lang").alias("profile"), run)
-    m = E.expert_metrics(al, assessed.select("*", F.col("lang").alias("profile"), run), keys)
-    n = al.groupBy(*keys).agg(F.countDistinct("prompt_id").alias("examples"))
-    m = m.join(n, keys).select(
-        *keys, "examples", F.col("off_target").cast("double").alias("off_target"),
+    counts = E.prompt_counts(aligned(spark, folder)).withColumnRenamed("lang", "profile")
+    m = E.expert_metrics(counts.withColumn("run", F.col("prompt_id") % 2), ["profile", "run"]).select(
+        "profile", "run", "examples", F.col("off_target").cast("double").alias("off_target"),
         *[F.round(c, 9).alias(c) for c in ("weighted_recall", "expert_recall", "precision")],
     )
     out = E.profile_policy(m.where("run = 0").drop("run"), m.where("run = 1").drop("run"), protected=("es",))

@@ -40,7 +40,7 @@ def scored(spark, folder):
 
 
 def ranking(spark, folder):
-    out = S.rank_candidates(scored(spark, folder), ["method", "example_id"])
+    out = S.rank_candidates(scored(spark, folder), ["method", "example_id"], at_most=B.row_bound(spark, folder))
     return out.withColumn("source_label", B.source_label()).withColumn("origin_kind", B.origin())
 
 
@@ -53,7 +53,7 @@ def rank_uniform(spark, folder):
     """Facts x uniform weights -> scores -> distinct ranks."""
     cands = B.candidates(spark, folder).select("candidate_id", "example_id", "satisfied_count")
     scores = cands.withColumn("score", F.col("satisfied_count") * F.lit(1.0) / F.lit(float(B.RULE_COUNT)))
-    return S.rank_candidates(scores).select(
+    return S.rank_candidates(scores, at_most=B.row_bound(spark, folder)).select(
         "example_id", "candidate_id", "satisfied_count",
         F.lit(B.RULE_COUNT).cast("bigint").alias("rubric_count"),
         F.round("score", 6).alias("score"), "rank",
@@ -139,7 +139,7 @@ FROM (SELECT DISTINCT method, example_id FROM ranking
       WHERE quality_bucket IN {B.SQL_STRONG} OR quality_bucket = 'synthetically_degraded') e
 LEFT JOIN svw USING (method, example_id)""")
 def strong_vs_weak(spark, folder):
-    out = R.strong_vs_weak(ranking(spark, folder), ["method", "example_id"])
+    out = R.strong_vs_weak(ranking(spark, folder), ["method", "example_id"], at_most=B.row_bound(spark, folder))
     return out.select("method", "example_id", "total", "correct", F.round("margin", 6).alias("margin"))
 
 
@@ -166,7 +166,7 @@ def method_metrics(spark, folder):
     """Per method: micro accuracies, and the mean over examples of per-example margins."""
     keys = ["method", "example_id"]
     ranks = ranking(spark, folder)
-    per_example = R.reference_top1(ranks, keys).join(R.strong_vs_weak(ranks, keys), keys, "left")
+    per_example = R.reference_top1(ranks, keys).join(R.strong_vs_weak(ranks, keys, at_most=B.row_bound(spark, folder)), keys, "left")
     return per_example.groupBy("method").agg(
         F.count(F.lit(1)).alias("examples"),
         F.sum(F.col("has_reference").cast("bigint")).alias("refs"),
@@ -244,7 +244,7 @@ def generated_pair_preferences(spark, folder):
         (F.col("satisfied_count") / F.lit(float(B.RULE_COUNT))).alias("score"),
     )
     levels = [i / float(B.RULE_COUNT) for i in range(B.RULE_COUNT + 1)]
-    out = R.earlier_preferred(cands, ["example_id"], levels)
+    out = R.earlier_preferred(cands, ["example_id"], levels, at_most=B.row_bound(spark, folder))
     return out.select(
         "example_id", "pair_count", F.round("pairwise_accuracy", 6).alias("pairwise_accuracy"),
         F.round("mean_margin", 6).alias("mean_margin"),
@@ -309,7 +309,7 @@ def whitened_rank(spark, folder):
         "example_id", "candidate_id", "satisfied_count",
         F.round(B.total([F.col(r) * F.col("w")[r] for r in B.RULE_IDS]), 12).alias("score"),
     )
-    return S.rank_candidates(scores).withColumn("score", F.round("score", 6))
+    return S.rank_candidates(scores, at_most=B.row_bound(spark, folder)).withColumn("score", F.round("score", 6))
 
 
 @query("whitened_two_rubrics", f"""WITH {B.CANDS},
@@ -434,9 +434,9 @@ def stage_comparison(spark, folder):
     scores = stages.groupBy(*keys, "candidate_id", "quality_bucket").agg(
         F.sum(F.col("satisfied").cast("bigint")).alias("satisfied_count"), F.count(F.lit(1)).alias("n")
     ).withColumn("score", T.ratio(F.col("satisfied_count"), F.col("n")))
-    ranks = S.rank_candidates(scores, keys)
+    ranks = S.rank_candidates(scores, keys, at_most=B.row_bound(spark, folder))
     per = ranks.groupBy(*keys).agg(F.max("n").alias("rubric_count"), F.avg("score").alias("coverage")).join(
-        R.strong_vs_weak(ranks, keys), keys, "left"
+        R.strong_vs_weak(ranks, keys, at_most=B.row_bound(spark, folder)), keys, "left"
     ).select(
         *keys, "rubric_count", "coverage",
         F.coalesce(T.ratio(F.col("correct"), F.col("total")), F.lit(0.0)).alias("strong_vs_weak_accuracy"),
