@@ -387,13 +387,18 @@ def heuristic_satisfaction(spark, folder):
              "The note uses a clear clinical structure.", "The note records medications.",
              "The note includes follow-up.", "Other quality."]
     labels = B.table(spark, folder, "labels")
-    # the bucket is small per row and needed by the rule, so labels join first on the id only
-    rows = docs(spark, folder).join(labels, "doc_id", "left").withColumn("bucket", B.bucket())
-    facts = F.array(*[
-        F.struct(F.lit(i).cast("bigint").alias("rid"),
-                 X.heuristic_satisfaction(body(), F.col("bucket"), F.lit(t)).alias("ok"))
-        for i, t in enumerate(texts, 1)
-    ])
+    kinds = ("gold_like", "synthetically_degraded", "open_generated")
+
+    def rule(kind):
+        # with literal rubric and bucket the rule folds to one predicate on the text
+        return F.array(*[X.heuristic_satisfaction(body(), F.lit(kind), F.lit(t)) for t in texts])
+
+    # evaluated per bucket before the join, so no text is shuffled
+    scanned = docs(spark, folder).select("doc_id", "lang", *[rule(k).alias(k) for k in kinds])
+    bucket = F.when(F.col("quality") == 1, "gold_like").when(F.col("quality") == 0, kinds[1]).otherwise(kinds[2])
+    rows = scanned.join(labels, "doc_id", "left").withColumn("bucket", bucket)
+    picked = F.when(F.col("bucket") == kinds[0], F.col(kinds[0])).when(F.col("bucket") == kinds[1], F.col(kinds[1])).otherwise(F.col(kinds[2]))
+    facts = F.transform(picked, lambda ok, i: F.struct((i + 1).cast("bigint").alias("rid"), ok.alias("ok")))
     return rows.select(F.col("lang").alias("family"), F.inline(facts)).groupBy("family", "rid").agg(
         F.count(F.when(F.col("ok"), 1)).alias("satisfied"), F.count(F.lit(1)).alias("n")
     )
