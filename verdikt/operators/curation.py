@@ -111,3 +111,61 @@ def ungrounded_terms(note: Column, dialogue: Column, terms: Sequence[str]) -> Co
     """First listed term that the note uses and the dialogue does not, or NULL."""
     n, d = F.lower(note), F.lower(dialogue)
     return F.coalesce(*[F.when(F.contains(n, F.lit(t)) & ~F.contains(d, F.lit(t)), t) for t in terms])
+
+
+# Source labels from the most to the least trusted.
+SOURCE_PRIORITY = ("reference_note", "reference_artifact", "augmented_note", "augmented_artifact",
+                   "note_truncated", "artifact_truncated")
+
+
+def source_rank(label: Column, priority: Sequence[str] = SOURCE_PRIORITY) -> Column:
+    out = F.lit(99)
+    for i, name in reversed(list(enumerate(priority))):
+        out = F.when(label == name, i).otherwise(out)
+    return out
+
+
+def strong_and_weak(candidates: DataFrame, key: str = "example_id") -> DataFrame:
+    """Each candidate's role in discovery pairs: strong, weak or unused.
+
+    Strong is the best original by source priority.  Weak are the synthetic
+    candidates, or, where an example has none, the originals after the strong one.
+    """
+    synthetic = F.col("origin_kind") == "synthetic"
+    order = F.struct(source_rank(F.col("source_label")).alias("p"), F.col("candidate_id").alias("id"))
+    facts = candidates.groupBy(key).agg(
+        F.min(F.when(~synthetic, order)).alias("_s"), F.max(synthetic).alias("_any")
+    )
+    role = (
+        F.when(~synthetic & (F.col("candidate_id") == F.col("_s.id")), "strong")
+        .when(F.col("_s").isNull(), "unused")
+        .when(synthetic, "weak")
+        .when(~F.col("_any") & (order > F.col("_s")), "weak")
+        .otherwise("unused")
+    )
+    return candidates.join(facts, key).withColumn("role", role).drop("_s", "_any")
+
+
+def side_assignment(pairs: DataFrame, seed: str) -> DataFrame:
+    """Put the strong response on side A or B by a hash of the pair id."""
+    first = F.substring(F.md5(F.concat(F.lit(seed + "|"), F.col("pair_id").cast("string"))), 1, 1) < "8"
+    return pairs.select(
+        "*", F.when(first, F.col("strong")).otherwise(F.col("weak")).alias("response_a"),
+        F.when(first, F.col("weak")).otherwise(F.col("strong")).alias("response_b"),
+        F.when(first, "A>B").otherwise("B>A").alias("label"),
+    )
+
+
+def blind_view(pairs: DataFrame, hidden: Sequence[str], visible: Column) -> DataFrame:
+    """Blank reference columns where a row may not see them."""
+    return pairs.withColumns({c: F.when(visible, F.col(c)).otherwise(F.lit("")) for c in hidden})
+
+
+def fold_gap(results: DataFrame, held_out: Column) -> DataFrame:
+    """Accuracy per family on the fitted and on the held-out rows, and their gap."""
+    def rate(side: Column) -> Column:
+        n, ok = F.count(F.when(side, 1)), F.count(F.when(side & F.col("correct"), 1))
+        return F.when(n == 0, 0.0).otherwise(ok * 100.0 / n)
+
+    s = results.groupBy("source_family").agg(rate(~held_out).alias("train_fit"), rate(held_out).alias("held_out"))
+    return s.withColumn("gap", F.round(F.col("train_fit") - F.col("held_out"), 6))

@@ -16,12 +16,13 @@ def balanced_folds(pairs: DataFrame, fold_count: int, seed: int | None = None,
 
     With a seed the order inside a family is a hash order, reproducible anywhere.
     """
-    smallest = pairs.groupBy("source_family").count().agg(F.min("count")).first()[0] or 1
+    sizes = pairs.groupBy("source_family").count().agg(F.min("count"), F.max("count")).first()
+    smallest, largest = sizes[0] or 1, sizes[1] or 0
     folds = max(1, min(fold_count, smallest))
     order = [F.col("pair_id").asc()]
     if seed is not None:
         order = [F.md5(F.concat(F.lit(f"{seed}|"), F.col("pair_id").cast("string"))).asc(), *order]
-    numbered = ranked(pairs, ["source_family"], order, "_pos", max_rows)
+    numbered = ranked(pairs, ["source_family"], order, "_pos", max_rows, at_most=largest)
     return numbered.withColumn("fold_index", (F.col("_pos") - 1) % folds).drop("_pos")
 
 

@@ -161,3 +161,76 @@ def failure_clusters(spark, folder):
     return rows.where(F.col("gold") != "").groupBy("source_family", "margin", "lengths").agg(
         F.count(F.lit(1)).alias("pairs"), F.count(F.when(~F.col("ok"), 1)).alias("failures")
     )
+
+
+@query("strong_weak_roles", f"""WITH {B.CANDS},
+c AS (SELECT *, {B.SQL_ORIGIN} AS origin_kind, {B.SQL_LABEL} AS source_label FROM cands),
+p AS (SELECT *, CASE source_label WHEN 'reference_note' THEN 0 WHEN 'augmented_note' THEN 2 WHEN 'note_truncated' THEN 4 ELSE 99 END AS pr FROM c),
+s AS (SELECT example_id, min((pr, candidate_id)) FILTER (origin_kind <> 'synthetic') AS st, bool_or(origin_kind = 'synthetic') AS any_syn FROM p GROUP BY ALL)
+SELECT example_id, candidate_id, CASE WHEN origin_kind <> 'synthetic' AND (pr, candidate_id) = st THEN 'strong' WHEN st IS NULL THEN 'unused'
+  WHEN origin_kind = 'synthetic' THEN 'weak' WHEN NOT any_syn AND (pr, candidate_id) > st THEN 'weak' ELSE 'unused' END AS role FROM p JOIN s USING (example_id)""")
+def strong_weak_roles(spark, folder):
+    cands = B.candidates(spark, folder).select(
+        "example_id", "candidate_id", B.origin().alias("origin_kind"), B.source_label().alias("source_label")
+    )
+    return U.strong_and_weak(cands).select("example_id", "candidate_id", "role")
+
+
+@query("side_assignment", """SELECT doc_id AS pair_id, CASE WHEN left(md5('s1|' || doc_id), 1) < '8' THEN lang ELSE source END AS response_a,
+  CASE WHEN left(md5('s1|' || doc_id), 1) < '8' THEN source ELSE lang END AS response_b,
+  CASE WHEN left(md5('s1|' || doc_id), 1) < '8' THEN 'A>B' ELSE 'B>A' END AS label FROM documents""")
+def side_assignment(spark, folder):
+    pairs = docs(spark, folder).select(F.col("doc_id").alias("pair_id"), F.col("lang").alias("strong"), F.col("source").alias("weak"))
+    return U.side_assignment(pairs, "s1").drop("strong", "weak")
+
+
+@query("blind_view", """SELECT doc_id, lang, CASE WHEN lang = 'en' THEN '' ELSE md5(text) END AS reference_answer FROM documents""")
+def blind_view(spark, folder):
+    rows = docs(spark, folder).select("doc_id", "lang", F.md5("text").alias("reference_answer"))
+    return U.blind_view(rows, ["reference_answer"], F.col("lang") != "en")
+
+
+@query("slim_projection", """SELECT d.doc_id, source, CASE quality WHEN 1 THEN 'reference_answer_a' ELSE 'reference_answer_b' END AS correct_answer
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE toxic = 0""")
+def slim_projection(spark, folder):
+    """Listed columns only; rows with a missing column or an unknown label are dropped."""
+    labels = B.table(spark, folder, "labels")
+    label = F.when(F.col("toxic") == 1, "tie").when(F.col("quality") == 1, "reference_answer_a").when(
+        F.col("quality") == 0, "reference_answer_b")
+    rows = docs(spark, folder).select("doc_id", "source", "n_chars").join(labels, "doc_id", "left").withColumn("correct_answer", label)
+    return writers.project(rows, ["doc_id", "source", "correct_answer"], "correct_answer")
+
+
+SQL_FOLDED = f"""{Q.PAIRS},
+x AS (SELECT pair_id, source_family, CASE WHEN pts_a > pts_b THEN 'A>B' WHEN pts_a < pts_b THEN 'B>A' ELSE 'A=B' END = label AS ok FROM pairs),
+k AS (SELECT least(5, min(n)) AS folds FROM (SELECT count(*) AS n FROM x GROUP BY source_family)),
+f AS (SELECT x.*, (row_number() OVER (PARTITION BY source_family ORDER BY pair_id) - 1) % folds AS fold_index FROM x, k)"""
+
+
+def folded_results(spark, folder):
+    from verdikt.operators.splits import balanced_folds
+
+    rows = Q.pair_rows(spark, folder).select(
+        "pair_id", "source_family", (D.compare(F.col("score_a"), F.col("score_b")) == F.col("label")).alias("correct")
+    )
+    return balanced_folds(rows, 5)
+
+
+@query("fold_metrics", f"""WITH {SQL_FOLDED},
+p AS (SELECT fold_index, count(*) AS pairs, count(*) FILTER (ok) AS correct FROM f GROUP BY ALL)
+SELECT fold_index, pairs, correct, round(100.0::DOUBLE * correct / pairs, 6) AS accuracy_pct FROM p""")
+def fold_metrics(spark, folder):
+    """All folds in one job: the fold is a column, not a process."""
+    n, ok = F.count(F.lit(1)), F.count(F.when(F.col("correct"), 1))
+    return folded_results(spark, folder).groupBy("fold_index").agg(
+        n.alias("pairs"), ok.alias("correct"), F.round(ok * 100.0 / n, 6).alias("accuracy_pct")
+    )
+
+
+@query("fold_gap", f"""WITH {SQL_FOLDED},
+g AS (SELECT source_family, coalesce(100.0::DOUBLE * count(*) FILTER (ok AND fold_index <> 0) / nullif(count(*) FILTER (fold_index <> 0), 0), 0) AS t,
+  coalesce(100.0::DOUBLE * count(*) FILTER (ok AND fold_index = 0) / nullif(count(*) FILTER (fold_index = 0), 0), 0) AS h FROM f GROUP BY ALL)
+SELECT source_family, round(t, 6) AS train_fit, round(h, 6) AS held_out, round(t - h, 6) AS gap FROM g""")
+def fold_gap(spark, folder):
+    out = U.fold_gap(folded_results(spark, folder), F.col("fold_index") == 0)
+    return out.withColumns({c: F.round(c, 6) for c in ("train_fit", "held_out")})
