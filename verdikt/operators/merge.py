@@ -28,6 +28,8 @@ def digest(*cols: Column) -> Column:
 
 def first_seen(df: DataFrame, key: str, ordinal: str, carry: Sequence[str] = ()) -> DataFrame:
     """One row per key: the earliest ordinal, its carried columns and the copies."""
+    if not carry:
+        return df.groupBy(key).agg(F.min(ordinal).alias(ordinal), F.count(F.lit(1)).alias("copies"))
     first = F.min(F.struct(ordinal, *carry))
     out = df.groupBy(key).agg(first.alias("_f"), F.count(F.lit(1)).alias("copies"))
     return out.select(key, *[F.col(f"_f.{c}").alias(c) for c in (ordinal, *carry)], "copies")

@@ -54,8 +54,10 @@ def reference_top1(ranking: DataFrame, keys: Sequence[str] = ("example_id",)) ->
 def anchor_preferences(ranking: DataFrame, keys: Sequence[str] = ("example_id",)) -> DataFrame:
     """Proxy pairs: the first reference (else first augmented) against all others.
 
-    The anchor is an argmin aggregate; counting how many others score below it
-    is one join on the example key, not a pair list.
+    Candidates are folded into a score histogram per key before the anchor (an
+    argmin aggregate) is joined, so a hot example joins a few score levels
+    instead of all of its candidates.  The anchor's own level adds no win and no
+    margin; it only has to be taken off the pair count.
     """
     keys = list(keys)
     pick = lambda label: F.min(
@@ -65,15 +67,15 @@ def anchor_preferences(ranking: DataFrame, keys: Sequence[str] = ("example_id",)
         ranking.groupBy(*keys)
         .agg(F.coalesce(pick("reference_note"), pick("augmented_note")).alias("a"))
         .where(F.col("a").isNotNull())
-        .select(*keys, F.col("a.candidate_id").alias("anchor_id"), F.col("a.score").alias("anchor_score"))
-    )
-    others = ranking.join(anchors, keys).where(F.col("candidate_id") != F.col("anchor_id"))
-    n = F.count(F.lit(1))
-    return others.groupBy(*keys).agg(
-        n.alias("pair_count"),
-        F.sum((F.col("anchor_score") > F.col("score")).cast("bigint")).alias("correct"),
-        F.sum(F.col("anchor_score") - F.col("score")).alias("margin_sum"),
+        .select(*keys, F.col("a.score").alias("anchor_score"))
     )
+    levels = ranking.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"))
+    gap = F.col("anchor_score") - F.col("score")
+    return levels.join(anchors, keys).groupBy(*keys).agg(
+        (F.sum("n") - 1).alias("pair_count"),
+        F.sum(F.when(gap > 0, F.col("n")).otherwise(0)).alias("correct"),
+        F.sum(gap * F.col("n")).alias("margin_sum"),
+    ).where(F.col("pair_count") > 0)
 
 
 def earlier_preferred(scored: DataFrame, keys: Sequence[str], levels: Sequence[float],

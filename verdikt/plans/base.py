@@ -127,8 +127,11 @@ def total(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
 
-def candidates(spark: SparkSession, folder: str, *features: Column) -> DataFrame:
-    """Candidate rows with rule flags; text itself is dropped after projection."""
+def candidates(spark: SparkSession, folder: str, *features: Column, labels: bool = True) -> DataFrame:
+    """Candidate rows with rule flags; text itself is dropped after projection.
+
+    Without ``labels`` the quality join is left out for plans that do not read it.
+    """
     docs = table(spark, folder, "documents").select(
         F.col("doc_id").alias("candidate_id"),
         F.col("source").alias("example_id"),
@@ -136,16 +139,13 @@ def candidates(spark: SparkSession, folder: str, *features: Column) -> DataFrame
         *flags(),
         *features,
     )
-    labels = table(spark, folder, "labels").withColumnRenamed("doc_id", "candidate_id")
-    return (
-        docs.join(labels, "candidate_id", "left")
-        .withColumn("quality_bucket", bucket())
-        .withColumn("satisfied_count", total([F.col(r) for r in RULE_IDS]).cast("bigint"))
-        .withColumn(
-            "adjusted_points",
-            total([F.col(r.rubric_id) * ADJUSTED[r.kind] for r in RULES]).cast("bigint"),
-        )
-    )
+    if labels:
+        quality = table(spark, folder, "labels").withColumnRenamed("doc_id", "candidate_id")
+        docs = docs.join(quality, "candidate_id", "left").withColumn("quality_bucket", bucket())
+    return docs.withColumns({
+        "satisfied_count": total([F.col(r) for r in RULE_IDS]).cast("bigint"),
+        "adjusted_points": total([F.col(r.rubric_id) * ADJUSTED[r.kind] for r in RULES]).cast("bigint"),
+    })
 
 
 def evaluations(cands: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY satisfied_co
 SELECT example_id, candidate_id, satisfied_count FROM k WHERE pos <= 2 ORDER BY satisfied_count, candidate_id LIMIT 25""")
 def capped_per_group(spark, folder):
     """Disagreement sample: at most two per example, then the first 25."""
-    items = B.candidates(spark, folder).select("example_id", "candidate_id", "satisfied_count")
+    items = B.candidates(spark, folder, labels=False).select("example_id", "candidate_id", "satisfied_count")
     return P.capped_selection(items, "example_id", [F.col("satisfied_count").asc(), F.col("candidate_id").asc()], 2, 25)
 
 

@@ -296,7 +296,7 @@ SELECT example_id, p::BIGINT AS parent_coverage, u::BIGINT AS child_union, round
   a > 0 AND a < n AND b > 0 AND b < n AND p > 0 AND a < p AND b < p AND recall >= 0.85::DOUBLE AND extra <= 0.15::DOUBLE
     AND ov <= 0.75 AND gain >= 0.03::DOUBLE AS retain_children FROM m""")
 def decomposition_gate(spark, folder):
-    out = K.decomposition_gate(B.candidates(spark, folder), "r04", "r06", "r01")
+    out = K.decomposition_gate(B.candidates(spark, folder, labels=False), "r04", "r06", "r01")
     ratios = ("coverage_recall", "extra_ratio", "pair_overlap", "discrimination_gain")
     return out.select(*[F.round(c, 6).alias(c) if c in ratios else F.col(c) for c in out.columns])
 
@@ -381,6 +381,6 @@ def refinement_worklist(spark, folder):
 @query("rubric_coverage_by_rule", f"""WITH {B.EVALS}
 SELECT rubric_id, count(*) AS total, sum(sat)::BIGINT AS coverage_count FROM evals GROUP BY ALL""")
 def rubric_coverage_by_rule(spark, folder):
-    return S.rubric_coverage(B.evaluations(B.candidates(spark, folder)), ["rubric_id"]).select(
+    return S.rubric_coverage(B.evaluations(B.candidates(spark, folder, labels=False)), ["rubric_id"]).select(
         "rubric_id", "total", "coverage_count"
     )

@@ -51,7 +51,7 @@ SELECT example_id, candidate_id, satisfied_count, {B.RULE_COUNT}::BIGINT AS rubr
 FROM cands""")
 def rank_uniform(spark, folder):
     """Facts x uniform weights -> scores -> distinct ranks."""
-    cands = B.candidates(spark, folder).select("candidate_id", "example_id", "satisfied_count")
+    cands = B.candidates(spark, folder, labels=False).select("candidate_id", "example_id", "satisfied_count")
     scores = cands.withColumn("score", F.col("satisfied_count") * F.lit(1.0) / F.lit(float(B.RULE_COUNT)))
     return S.rank_candidates(scores, at_most=B.row_bound(spark, folder)).select(
         "example_id", "candidate_id", "satisfied_count",
@@ -66,7 +66,7 @@ SELECT example_id, candidate_id, sum(sat)::BIGINT AS satisfied_count,
 FROM evals GROUP BY ALL""")
 def score_from_facts(spark, folder):
     """The general fact-table route: facts joined to per-example uniform weights."""
-    evals = B.evaluations(B.candidates(spark, folder)).select(
+    evals = B.evaluations(B.candidates(spark, folder, labels=False)).select(
         "example_id", "candidate_id", "rubric_id", "satisfied"
     )
     weights = S.uniform_weights(evals.select("example_id", "rubric_id").distinct())
@@ -81,7 +81,7 @@ SELECT example_id, rubric_id, total, coverage_count,
   round(coverage_count / total::DOUBLE, 6) AS p,
   round((coverage_count / total::DOUBLE) * (1 - coverage_count / total::DOUBLE), 6) AS pq FROM c""")
 def rubric_coverage_discrimination(spark, folder):
-    evals = B.evaluations(B.candidates(spark, folder))
+    evals = B.evaluations(B.candidates(spark, folder, labels=False))
     return S.rubric_coverage(evals).select(
         "example_id", "rubric_id", "total", "coverage_count",
         F.round("p", 6).alias("p"), F.round("pq", 6).alias("pq"),
@@ -92,7 +92,7 @@ def rubric_coverage_discrimination(spark, folder):
 SELECT example_id, rubric_id, candidate_id FROM evals WHERE sat = 1""")
 def satisfied_sets(spark, folder):
     """Satisfying candidates per rubric, as rows: a set column could not hold a hot rubric."""
-    evals = B.evaluations(B.candidates(spark, folder))
+    evals = B.evaluations(B.candidates(spark, folder, labels=False))
     return evals.where("satisfied").select("example_id", "rubric_id", "candidate_id")
 
 
@@ -104,7 +104,7 @@ c AS (SELECT example_id, rubric_id, count(*) AS total, sum(sat) / count(*)::DOUB
 k AS (SELECT *, (p * (1 - p) >= {DISCRIMINATION}::DOUBLE OR total < 2) AS passing FROM c)
 SELECT example_id, rubric_id, passing OR NOT bool_or(passing) OVER (PARTITION BY example_id) AS kept FROM k""")
 def discrimination_filter(spark, folder):
-    evals = B.evaluations(B.candidates(spark, folder))
+    evals = B.evaluations(B.candidates(spark, folder, labels=False))
     return S.discrimination_filter(evals, DISCRIMINATION).select("example_id", "rubric_id", "kept")
 
 
@@ -300,7 +300,7 @@ def weight_adjust(spark, folder):
 @query("whitened_rank")
 def whitened_rank(spark, folder):
     """Covariance-whitened weights from one aggregate pass, then scores and ranks."""
-    cands = B.candidates(spark, folder)
+    cands = B.candidates(spark, folder, labels=False)
     weights = S.whitened_weights(S.gram(cands, B.RULE_IDS), B.RULE_IDS)
     per_example = weights.groupBy("example_id").agg(
         F.map_from_entries(F.collect_list(F.struct("rubric_id", "weight"))).alias("w")
@@ -322,7 +322,7 @@ w AS (SELECT *, greatest(c + root - b, 0) AS x, greatest(a + root - b, 0) AS y F
 SELECT example_id, round(CASE WHEN x + y <= 0 THEN 0.5 ELSE x / (x + y) END, 6) AS weight_a,
   round(CASE WHEN x + y <= 0 THEN 0.5 ELSE y / (x + y) END, 6) AS weight_b FROM w""")
 def whitened_two_rubrics(spark, folder):
-    grams = S.gram(B.candidates(spark, folder), ["r02", "r06"])
+    grams = S.gram(B.candidates(spark, folder, labels=False), ["r02", "r06"])
     return S.two_rubric_whitening(grams).select(
         "example_id", F.round("weight_a", 6).alias("weight_a"), F.round("weight_b", 6).alias("weight_b")
     )
@@ -332,7 +332,7 @@ def whitened_two_rubrics(spark, folder):
 SELECT example_id, candidate_id, {', '.join(B.RULE_IDS)} FROM cands""")
 def evaluation_matrix(spark, folder):
     """Facts pivoted back to one 0/1 row per candidate; a missing fact is 0."""
-    evals = B.evaluations(B.candidates(spark, folder)).where("satisfied")
+    evals = B.evaluations(B.candidates(spark, folder, labels=False)).where("satisfied")
     cells = [
         F.max((F.col("rubric_id") == r).cast("int")).alias(r) for r in B.RULE_IDS
     ]
@@ -365,7 +365,7 @@ c AS (SELECT example_id, family, rubric_id, sum(sat) / count(*)::DOUBLE AS p FRO
 SELECT family, CASE WHEN p * (1 - p) < 0.05::DOUBLE THEN 'useless' WHEN p * (1 - p) < 0.15::DOUBLE THEN 'weak'
   ELSE 'strong' END AS band, count(*) AS rubrics, round(avg(p), 6) AS mean_fire_rate FROM c GROUP BY ALL""")
 def discrimination_bands(spark, folder):
-    evals = B.evaluations(B.candidates(spark, folder))
+    evals = B.evaluations(B.candidates(spark, folder, labels=False))
     stats = S.rubric_coverage(evals, ["example_id", "family", "rubric_id"])
     band = F.when(F.col("pq") < 0.05, "useless").when(F.col("pq") < 0.15, "weak").otherwise("strong")
     return stats.groupBy("family", band.alias("band")).agg(
