@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from verdikt.session import ship_package
 from verdikt.functions.text import ratio
 from verdikt.operators.running import top_k
 
@@ -67,6 +68,7 @@ def aligned(prompts: DataFrame) -> DataFrame:
     def part(c: str, name: str) -> Column:
         return F.transform(c, lambda x: x[name])
 
+    ship_package(prompts.sparkSession)
     found = prompts.withColumn(
         "_best", best_matches(part("experts", "tokens"), part("experts", "family"),
                               part("generated", "tokens"), part("generated", "family")),

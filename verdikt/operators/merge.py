@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdikt.session import ship_package
 from verdikt.functions import text as T
 from verdikt.operators.running import top_k
 
@@ -117,6 +118,7 @@ def budgeted(criteria: DataFrame, per_dimension: int = 6, per_family: int = 14,
     are a prefix of at most ``per_dimension`` rows: a distributed top-k keeps
     exactly those, and only that remainder is folded in order.
     """
+    ship_package(criteria.sparkSession)
     order = [
         (F.col("severity_tier") != "hard_gate").asc(), F.col("direction_evidence").desc(),
         F.col("dimension").asc(), F.col("criterion_id").asc(),

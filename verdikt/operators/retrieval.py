@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdikt.session import ship_package
 from verdikt.operators.running import top_k
 
 BLOCK_ROWS = 4096        # index rows one task holds as a matrix
@@ -26,6 +27,7 @@ def cosine_top_k(queries: DataFrame, index: DataFrame, k: int, query_id: str = "
     """
     if k <= 0:
         raise ValueError("k must be positive")
+    ship_package(queries.sparkSession)
     blocks = max(1, -(-index.count() // block_rows))
     slices = max(1, -(-queries.count() // query_rows))
     spread = lambda ident, n: F.pmod(F.xxhash64(ident), F.lit(n)).cast("int")
@@ -124,6 +126,7 @@ def tfidf_top_k(queries: DataFrame, docs: DataFrame, k: int, query_rows: int = 5
     query-document pairs never become rows.  Only terms some query asks for leave
     the weighting step.
     """
+    ship_package(docs.sparkSession)
     n = docs.count()
     blocks = max(1, -(-queries.count() // query_rows))
     slices = max(1, -(-n // doc_rows))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdikt.session import ship_package
 from verdikt.functions.text import ratio
 from verdikt.operators.running import ranked
 
@@ -177,6 +178,7 @@ def whitened(n: np.ndarray, sums: np.ndarray, cosums: np.ndarray, ridge: float):
 def whitened_weights(grams: DataFrame, rubric_ids: Sequence[str], ridge: float = 1e-3) -> DataFrame:
     """Whitened-uniform weights; numpy works on batches of example rows."""
     names = list(rubric_ids)
+    ship_package(grams.sparkSession)
 
     def batches(frames):
         for pdf in frames:

@@ -15,6 +15,7 @@ from verdikt.operators import worklist as W
 from verdikt.plans import base as B
 from verdikt.plans.registry import query
 from verdikt.plans.texts import SQL_LINES, docs
+from verdikt.session import durable, ship_package
 
 NORM = f"lower({B.sql_squeeze('text')})"
 
@@ -259,7 +260,7 @@ d AS (SELECT example_id, group_id, count(DISTINCT rubric_id) AS source_member_co
 SELECT *, CASE WHEN category_count > 1 OR source_member_count > 1 THEN 'merged' ELSE 'kept' END AS action_taken
 FROM h JOIN d USING (example_id, group_id)""")
 def production_groups(spark, folder):
-    bank = rubric_bank(spark, folder)
+    bank = durable(rubric_bank(spark, folder))
     members = bank.select("example_id", "rubric_id", F.explode_outer("categories.category_id").alias("category_id"))
     members = members.where(F.col("category_id").isNotNull())
     return K.production_bank(K.compress(bank, ["example_id"]), GROUPS, ["example_id"], members)
@@ -315,6 +316,7 @@ def bank_judgment(spark, folder):
     """Heuristic scores of the bank formed by the lines of one document."""
     rows = docs(spark, folder).select("doc_id", F.transform(T.full_lines(body()), F.lower).alias("l")).where(F.size("l") > 0)
     words = rows.select("doc_id", "l", F.transform("l", T.words).alias("w"))
+    ship_package(spark)
     banks = words.select(
         "doc_id", F.size("l").cast("bigint").alias("rubric_count"),
         F.size(F.filter("l", lambda x: F.contains(x, F.lit(" and ")))).alias("stacked"),

@@ -10,6 +10,7 @@ from verdikt.operators import running as RT
 from verdikt.operators import scoring as S
 from verdikt.plans import base as B
 from verdikt.plans.registry import query
+from verdikt.session import durable
 
 SCORED = B.CANDS + f""",
 scored AS (
@@ -40,6 +41,8 @@ def scored(spark, folder):
 
 
 def ranking(spark, folder):
+    """Ranked candidates; reports that read them twice pin the narrow table first,
+    so the texts are scanned and matched once."""
     out = S.rank_candidates(scored(spark, folder), ["method", "example_id"], at_most=B.row_bound(spark, folder))
     return out.withColumn("source_label", B.source_label()).withColumn("origin_kind", B.origin())
 
@@ -165,7 +168,7 @@ FROM e GROUP BY method""")
 def method_metrics(spark, folder):
     """Per method: micro accuracies, and the mean over examples of per-example margins."""
     keys = ["method", "example_id"]
-    ranks = ranking(spark, folder)
+    ranks = durable(ranking(spark, folder))
     per_example = R.reference_top1(ranks, keys).join(R.strong_vs_weak(ranks, keys, at_most=B.row_bound(spark, folder)), keys, "left")
     return per_example.groupBy("method").agg(
         F.count(F.lit(1)).alias("examples"),
@@ -198,7 +201,7 @@ prefs AS (
 SELECT method, example_id, pair_count, round(correct / pair_count::DOUBLE, 6) AS pairwise_accuracy,
   round(mean_margin, 6) AS mean_margin FROM prefs""")
 def anchor_preferences(spark, folder):
-    out = R.anchor_preferences(ranking(spark, folder), ["method", "example_id"])
+    out = R.anchor_preferences(durable(ranking(spark, folder)), ["method", "example_id"])
     return out.select(
         "method", "example_id", "pair_count",
         F.round(T.ratio(F.col("correct"), F.col("pair_count")), 6).alias("pairwise_accuracy"),
@@ -215,7 +218,7 @@ SELECT method, count(*) AS examples, sum(pair_count)::BIGINT AS pair_count, roun
 def preference_macro(spark, folder):
     """Macro mean over examples; an example without pairs counts with zero."""
     keys = ["method", "example_id"]
-    ranks = ranking(spark, folder)
+    ranks = durable(ranking(spark, folder))
     per = ranks.select(*keys).distinct().join(R.anchor_preferences(ranks, keys), keys, "left")
     zero = F.lit(0)
     return per.groupBy("method").agg(
@@ -300,7 +303,7 @@ def weight_adjust(spark, folder):
 @query("whitened_rank")
 def whitened_rank(spark, folder):
     """Covariance-whitened weights from one aggregate pass, then scores and ranks."""
-    cands = B.candidates(spark, folder, labels=False)
+    cands = durable(B.candidates(spark, folder, labels=False))
     weights = S.whitened_weights(S.gram(cands, B.RULE_IDS), B.RULE_IDS)
     per_example = weights.groupBy("example_id").agg(
         F.map_from_entries(F.collect_list(F.struct("rubric_id", "weight"))).alias("w")
@@ -423,7 +426,7 @@ SELECT examples, {', '.join(f"round({s}_{f}, 6) AS {s}_{f}" for s in ('one_shot'
   {', '.join(f"round(refined_{f} - one_shot_{f}, 6) AS delta_{f}" for f in STAGE_FIELDS)} FROM t""")
 def stage_comparison(spark, folder):
     """Full rubric set against the discrimination-filtered one: means and deltas."""
-    evals = B.evaluations(B.candidates(spark, folder)).select(
+    evals = B.evaluations(durable(B.candidates(spark, folder))).select(
         "example_id", "candidate_id", "quality_bucket", "rubric_id", "satisfied"
     )
     kept = S.discrimination_filter(evals, DISCRIMINATION).where("kept").select("example_id", "rubric_id")

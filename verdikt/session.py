@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,24 @@ def build_session(app: str = "verdikt", cpus: int | str = "*", memory: str = "8g
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Operators with Python functions need it wherever the package is not
+    installed on the executors, whatever folder the driver was started in.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="verdikt-package-"), root.name)
+    context.addPyFile(shutil.make_archive(target, "zip", root_dir=root.parent, base_dir=root.name))
+    _SHIPPED.add(context.applicationId)
+
+
 def max_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_ROWS_KEY, str(GROUP_ROWS_DEFAULT)))
 
