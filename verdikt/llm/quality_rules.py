@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from verdikt.llm.common import pin
 from verdikt.session import ship_package
@@ -87,7 +88,7 @@ def text_metrics(text: str) -> tuple[int, ...]:
     )
 
 
-@F.pandas_udf(", ".join(f"{name} long" for name in METRICS))
+@F.pandas_udf(StructType([StructField(name, LongType()) for name in METRICS]))
 def _metrics(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([text_metrics(text or "") for text in texts], columns=list(METRICS), dtype="int64")
 
