@@ -39,15 +39,15 @@ WITH cuts(rule, step, cut, share) AS (VALUES {_CUTS}),
 split AS (
   SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS text, row_number() OVER () AS rid,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-    list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 windows AS (
   SELECT rid, pos, words[pos] || ' ' || words[pos + 1] || ' ' || words[pos + 2] AS gram
   FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS pos FROM split)),
 doubled AS (SELECT rid, gram FROM windows GROUP BY ALL HAVING count(*) > 1),
 covered AS (
-  SELECT rid, count(DISTINCT at) AS n
-  FROM (SELECT w.rid, unnest([pos, pos + 1, pos + 2]) AS at FROM windows w JOIN doubled USING (rid, gram)) GROUP BY rid),
+  SELECT rid, count(DISTINCT spot) AS n
+  FROM (SELECT w.rid, unnest([pos, pos + 1, pos + 2]) AS spot FROM windows w JOIN doubled USING (rid, gram)) GROUP BY rid),
 metrics AS (
   SELECT s.rid, doc_id, stratum, len(words)::BIGINT AS n_words,
     length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
@@ -64,7 +64,7 @@ counts AS (
     count(*) FILTER (WHERE CASE rule {_PARTS} END * 1000 > CASE rule {_WHOLES} END * cut) AS k
   FROM holdout JOIN strata USING (stratum) CROSS JOIN cuts GROUP BY ALL),
 tested AS (
-  SELECT *, k < n AND list_sum(list_transform(range(0, k + 1), i -> exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END
+  SELECT *, k < n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END
       - lgamma(n - i + 1) + i * ln(share) + (n - i) * ln(1 - share))))
     <= {DELTA} / ((SELECT count(*) FROM strata) * {len(RULES)}) AS ok
   FROM counts),
