@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdikt.llm.common import table
 from verdikt.llm.quality_rules import METRICS, RULES, quality_rules
+from verdikt.llm.simhash import hexadecimal, near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +85,9 @@ FROM judged j
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"), good_labels(spark, sf_dir), alpha=ALPHA, delta=DELTA)
     return judged.select("doc_id", *METRICS[:5], "base_failed", "kept")
+
+
+@query("op9_simhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", hexadecimal("bits").alias("fingerprint"), "component_id")
