@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdikt.llm.common import table
+from verdikt.llm.packing import pack_documents
 from verdikt.llm.quality_rules import METRICS, RULES, quality_rules
 from verdikt.llm.simhash import hexadecimal, near_duplicates
 
@@ -91,3 +92,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", hexadecimal("bits").alias("fingerprint"), "component_id")
+
+
+def vocabulary() -> tuple[str, str, str]:
+    """Tokenizer file, its ranks and its word pattern."""
+    import public_tokenizers
+
+    name = "byte_bpe_50k"
+    return public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op7_best_fit_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
