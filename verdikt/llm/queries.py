@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdikt.llm.common import table
+from verdikt.llm.decontaminate import find_leaks
 from verdikt.llm.packing import pack_documents
 from verdikt.llm.quality_rules import METRICS, RULES, quality_rules
 from verdikt.llm.simhash import hexadecimal, near_duplicates
@@ -105,3 +106,8 @@ def vocabulary() -> tuple[str, str, str]:
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op5_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
