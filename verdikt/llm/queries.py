@@ -11,6 +11,7 @@ from verdikt.llm.common import table
 from verdikt.llm.decontaminate import find_leaks
 from verdikt.llm.packing import pack_documents
 from verdikt.llm.quality_rules import METRICS, RULES, quality_rules
+from verdikt.llm.secrets import with_findings
 from verdikt.llm.simhash import hexadecimal, near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +112,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_decontamination")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_findings(table(spark, sf_dir, "documents"), vocabulary()[1:]).select("doc_id", "findings.*")
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("written").alias("spans"), "n_random"
+    )
