@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm.common import table
+from verdikt.llm.common import fold, table
 from verdikt.llm.decontaminate import find_leaks
 from verdikt.llm.packing import pack_documents
 from verdikt.llm.quality_rules import METRICS, RULES, quality_rules
 from verdikt.llm.secrets import with_findings
 from verdikt.llm.simhash import hexadecimal, near_duplicates
+from verdikt.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,3 +121,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("written").alias("spans"), "n_random"
     )
+
+
+def predictions(scored: DataFrame, cutoff: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= cutoff).cast("int").alias("predicted"),
+    )
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictions(toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.5)
