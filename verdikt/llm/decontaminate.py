@@ -40,12 +40,12 @@ RATE = 0.1
 BLOCK_CHARS = 1_000_000
 BITS = 22
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_GAP = re.compile(r"\s{2,}|[^\S ]")
+_GAP = re.compile(r"[^\S ]")
 
 
 def normal(text: str) -> str:
-    text = text.lower()
-    return re.sub(r"\s+", " ", text).strip() if _GAP.search(text) else text.strip(" ")
+    text = text.lower().replace("\n", " ")
+    return " ".join(text.split()) if "  " in text or _GAP.search(text) else text.strip(" ")
 
 
 def budget(length: int, q: int = Q, rate: float = RATE) -> tuple[int, int]:
@@ -72,6 +72,11 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    values.sort()
+    return values[np.diff(values, prepend=values[:1] - 1) != 0]
+
+
 @dataclass
 class Index:
     """All q-grams of a block of items."""
@@ -126,7 +131,10 @@ class Index:
         low = int(band.min()) - 1
         width = int(band.max()) - low + 1
         base = (doc * len(self.texts) + item) * width + (band - low)
-        keys, counts = np.unique(np.concatenate([base, base - 1]), return_counts=True)
+        # a q-gram of the item counts once in a band, however often the text repeats it
+        longest = int(place.max()) + 1
+        shared = distinct(np.concatenate([base, base - 1]) * longest + np.concatenate([place, place]))
+        keys, counts = np.unique(shared // longest, return_counts=True)
         pair = keys // width
         enough = counts >= self.bound[pair % len(self.texts)]
         keys, counts, pair = keys[enough], counts[enough], pair[enough]
@@ -137,22 +145,31 @@ class Index:
         ]
 
 
-def align(text: np.ndarray, item: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+def align(
+    text: np.ndarray, item: np.ndarray, low: int, high: int, most: float = math.inf
+) -> tuple[int, int, int]:
     """(edits, start, end) of the best region of ``text`` for ``item`` on diagonals low to high.
 
     A row of the table holds one cell for each diagonal; the table is never
     wider than the band.  start is the first position of the band that the end
     position's alignment may use, found by aligning backwards.
     """
-    edits, end = _last_row(text, item, low, high)
+    edits, end = _last_row(text, item, low, high, most)
+    if edits > most:
+        return edits, 0, 0
     # backwards from the end found: diagonals mirror around it
     n, m = end, len(item)
-    _, back = _last_row(text[:n][::-1], item[::-1], n - m - high, n - m - low, fixed=True)
+    _, back = _last_row(text[:n][::-1], item[::-1], n - m - high, n - m - low, most, fixed=True)
     return edits, n - back, n
 
 
-def _last_row(text: np.ndarray, item: np.ndarray, low: int, high: int, fixed: bool = False) -> tuple[int, int]:
-    """(least edits, text position after it); ``fixed``: the region starts at position 0."""
+def _last_row(
+    text: np.ndarray, item: np.ndarray, low: int, high: int, most: float, fixed: bool = False
+) -> tuple[int, int]:
+    """(least edits, text position after it); ``fixed``: the region starts at position 0.
+
+    Given up, with more edits than ``most``, once no cell of a row has that few.
+    """
     width = high - low + 1
     steps = np.arange(width)
     padded = np.zeros(width + len(item) + 1, dtype=np.int64)
@@ -169,6 +186,8 @@ def _last_row(text: np.ndarray, item: np.ndarray, low: int, high: int, fixed: bo
         step = row + (padded[i : i + width] != code + 1)
         step[:-1] = np.minimum(step[:-1], row[1:] + 1)
         row = np.minimum.accumulate(step - steps) + steps
+        if i % 16 == 0 and row.min() > most:
+            return far, 0  # a row's least cell never falls
     places = steps + low + len(item)
     row = np.where((places >= 0) & (places <= len(text)), row, far)
     best = int(np.argmin(row))
@@ -196,7 +215,7 @@ def leaks(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]
             if exact >= 0:
                 result = (0, exact, exact + len(whole))
             else:
-                result = align(codes_of(part[d]), codes_of(whole), low - edits, high + edits)
+                result = align(codes_of(part[d]), codes_of(whole), low - edits, high + edits, edits)
             if result[0] <= edits:
                 seen.add((d, i))
                 found.append((a + d, i, *result))
