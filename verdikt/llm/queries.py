@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdikt.llm.common import fold, table
 from verdikt.llm.decontaminate import find_leaks
+from verdikt.llm.language_id import HELD_OUT, identify
 from verdikt.llm.packing import pack_documents
 from verdikt.llm.quality_rules import METRICS, RULES, quality_rules
 from verdikt.llm.secrets import with_findings
@@ -135,3 +136,11 @@ def predictions(scored: DataFrame, cutoff: float) -> DataFrame:
 @query("op3_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.5)
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", (fold(F.col("doc_id"), 4) == HELD_OUT).alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
