@@ -11,6 +11,7 @@ from verdikt.llm.common import fold, table
 from verdikt.llm.decontaminate import find_leaks
 from verdikt.llm.language_id import HELD_OUT, identify
 from verdikt.llm.packing import pack_documents
+from verdikt.llm.quality_ranker import rank_quality
 from verdikt.llm.quality_rules import METRICS, RULES, quality_rules
 from verdikt.llm.secrets import with_findings
 from verdikt.llm.simhash import hexadecimal, near_duplicates
@@ -144,3 +145,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", (fold(F.col("doc_id"), 4) == HELD_OUT).alias("held_out"), "lang_pred", "score", "ambiguous"
     )
+
+
+@query("op6_quality_ranking")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cutoff=0.3)
+    return predictions(scored, 0.3)

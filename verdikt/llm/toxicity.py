@@ -35,7 +35,7 @@ CARRIER = b"<carrier passage of both dictionaries>"
 LEVELS = (2, 3, 4, 5)
 BASE_BYTES, TOXIC_BYTES = 16_384, 8_192
 WINDOW_WORDS = 8
-EVIDENCE = 14.0
+EVIDENCE = 7.0
 ROUNDS, MINED = 6, 400
 REMEMBERED = 250_000
 
@@ -139,15 +139,15 @@ def fit_curve(rows: np.ndarray, labels: np.ndarray, penalty: float = 1.0, steps:
 
 
 def train(sample: list[tuple]) -> Model:
-    """A model from rows (doc_id, text, label); half of the folds train dictionaries, half calibrate."""
+    """A model from rows (doc_id, text, label); seven of ten folds train dictionaries, three calibrate."""
     rows = sorted(((key, text or "", label) for key, text, label in sample), key=lambda r: (str(r[0]), r[1]))
     share = sum(label for *_, label in rows) / len(rows) if rows else 0.0
     if share in (0.0, 1.0):
         flat = Model()
         flat.weights[0] = math.log(max(share, 1e-6) / max(1 - share, 1e-6))
         return flat
-    first = [r for r in rows if fold_of(r[0], 10) % 2 == 0] or rows
-    rest = [r for r in rows if fold_of(r[0], 10) % 2 == 1] or rows
+    first = [r for r in rows if fold_of(r[0], 10) < 7] or rows
+    rest = [r for r in rows if fold_of(r[0], 10) >= 7] or rows
     counts: tuple[Counter, Counter] = Counter(), Counter()
     running: Counter = Counter()
     docs = [0, 0]
