@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdikt.llm.common import fold, table
 from verdikt.llm.decontaminate import find_leaks
+from verdikt.llm.html_text import extract
 from verdikt.llm.language_id import HELD_OUT, identify
 from verdikt.llm.packing import pack_documents
 from verdikt.llm.quality_ranker import rank_quality
@@ -151,3 +152,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cutoff=0.3)
     return predictions(scored, 0.3)
+
+
+@query("op8_html_extraction")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
