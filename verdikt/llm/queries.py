@@ -14,6 +14,7 @@ from verdikt.llm.language_id import HELD_OUT, identify
 from verdikt.llm.packing import pack_documents
 from verdikt.llm.quality_ranker import rank_quality
 from verdikt.llm.quality_rules import METRICS, RULES, quality_rules
+from verdikt.llm.quotations import reply_ordered
 from verdikt.llm.secrets import with_findings
 from verdikt.llm.simhash import hexadecimal, near_duplicates
 from verdikt.llm.toxicity import toxicity
@@ -157,3 +158,55 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_extraction")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+_OWN = r"""CASE WHEN regexp_matches(text, '(^|\n)[ \t]*>') THEN regexp_replace(array_to_string(list_filter(
+  string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '^((?:[ \t]*>)+)')), chr(10)), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')
+  ELSE text END"""
+_NORMAL = r"lower(trim(regexp_replace({}, '[ \t\r\n]+', ' ', 'g')))"
+OP4_SQL = rf"""
+WITH RECURSIVE source AS (SELECT conv_id, turn, role, text, {_OWN} AS own, md5(text) AS said FROM conversations),
+lines AS (
+  SELECT conv_id, turn, said, spot, line, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS depth
+  FROM (SELECT conv_id, turn, said, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS spot
+    FROM (SELECT DISTINCT conv_id, turn, said, text FROM source
+      WHERE regexp_matches(text, '(^|\n)[ \t]*>') AND conv_id IS NOT NULL AND turn IS NOT NULL))),
+runs AS (SELECT *, spot - row_number() OVER (PARTITION BY conv_id, turn, said, depth ORDER BY spot) AS run FROM lines WHERE depth > 0),
+passages AS (
+  SELECT * FROM (SELECT conv_id, turn, said, depth, run,
+    {_NORMAL.format(r"string_agg(regexp_replace(line, '^((?:[ \t]*>)+)', ''), chr(10) ORDER BY spot)")} AS body
+  FROM runs GROUP BY conv_id, turn, said, depth, run) WHERE body <> ''),
+units AS (
+  SELECT DISTINCT conv_id, turn, {_NORMAL.format("unit")} AS body FROM (
+    SELECT conv_id, turn, own AS unit FROM source
+    UNION ALL SELECT conv_id, turn, unnest(string_split_regex(own, '\n[ \t\r]*\n')) FROM source
+    UNION ALL SELECT conv_id, turn, unnest(string_split(own, chr(10))) FROM source)
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+near AS (SELECT body, conv_id, min(turn) AS turn FROM units WHERE body IN (SELECT body FROM passages) GROUP BY 1, 2),
+far AS (SELECT DISTINCT ON (body) body, conv_id, turn FROM near ORDER BY body, conv_id, turn),
+linked AS (
+  SELECT p.*, CASE WHEN n.turn < p.turn THEN p.conv_id WHEN f.conv_id <> p.conv_id OR f.turn < p.turn THEN f.conv_id END AS to_conv,
+    CASE WHEN n.turn < p.turn THEN n.turn WHEN f.conv_id <> p.conv_id OR f.turn < p.turn THEN f.turn END AS to_turn
+  FROM passages p LEFT JOIN near n ON n.body = p.body AND n.conv_id = p.conv_id LEFT JOIN far f ON f.body = p.body),
+counts AS (
+  SELECT conv_id, turn, said, count(*) AS n_quotes, count(to_turn) AS n_linked, max(depth) AS max_depth,
+    max(to_turn) FILTER (WHERE depth = 1 AND to_conv = conv_id) AS parent_turn
+  FROM linked GROUP BY 1, 2, 3),
+parents AS (SELECT conv_id, turn, max(parent_turn) AS parent FROM counts WHERE parent_turn IS NOT NULL GROUP BY 1, 2),
+climb AS (
+  SELECT conv_id, turn, parent AS top, turn::VARCHAR AS path FROM parents
+  UNION ALL
+  SELECT c.conv_id, c.turn, p.parent, c.top::VARCHAR || '.' || c.path
+  FROM climb c LEFT JOIN parents p ON p.conv_id = c.conv_id AND p.turn = c.top WHERE c.top IS NOT NULL),
+paths AS (SELECT conv_id, turn, path FROM climb WHERE top IS NULL)
+SELECT s.conv_id, s.turn, role, own AS text, coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked,
+  coalesce(max_depth, 0)::BIGINT AS max_depth, parent_turn, coalesce(path, s.turn::VARCHAR, '') AS reply_path
+FROM source s LEFT JOIN counts c ON c.conv_id = s.conv_id AND c.turn = s.turn AND c.said = s.said
+LEFT JOIN paths p ON p.conv_id = s.conv_id AND p.turn = s.turn AND c.said IS NOT NULL
+"""
+
+
+@query("op4_quotation_linking", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = reply_ordered(table(spark, sf_dir, "conversations"))
+    return ordered.withColumn("reply_path", F.array_join(F.transform("reply_path", lambda x: x.cast("string")), "."))
