@@ -94,22 +94,6 @@ def redundancy(rows: DataFrame, key: str, threshold: float = 0.9) -> DataFrame:
     )
 
 
-def coding_rate(token_lists, hard, threshold: float) -> list[int]:
-    """Positions kept at a Jaccard threshold; a hard gate displaces the first match."""
-    kept: list[int] = []
-    sets = [frozenset(t) for t in token_lists]
-    for pos, tokens in enumerate(sets):
-        match = next(
-            (k for k in kept if len(tokens & sets[k]) / (len(tokens | sets[k]) or 1) >= threshold), None
-        )
-        if match is None:
-            kept.append(pos)
-        elif hard[pos] and not hard[match]:
-            kept.remove(match)
-            kept.append(pos)
-    return kept
-
-
 def mean_overlap(token_lists) -> float:
     """Mean Jaccard over unordered pairs of one bank, by one matrix product."""
     n = len(token_lists)

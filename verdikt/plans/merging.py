@@ -10,8 +10,8 @@ from verdikt.functions import text as T
 from verdikt.operators import banks as K
 from verdikt.operators import greedy as G
 from verdikt.operators import merge as M
+from verdikt.operators import refinement as RF
 from verdikt.operators import scoring as S
-from verdikt.operators import worklist as W
 from verdikt.plans import base as B
 from verdikt.plans.registry import query
 from verdikt.plans.texts import SQL_LINES, docs
@@ -369,15 +369,15 @@ def redundancy_greedy(spark, folder):
 
 @query("refinement_worklist")
 def refinement_worklist(spark, folder):
-    """Recursive refinement per document: pool = text and its weak variants, seeds = its lines."""
+    """Refinement in rounds per document: pool = text and its weak variants, seeds = its lines."""
     rows = docs(spark, folder).select("doc_id", "text", X.remove_plan_details(body()).alias("bare"))
     bare = F.col("bare")
     examples = rows.select(
         "doc_id", F.array(body(), X.truncate_half(body()), bare, X.truncate_half(bare)).alias("texts"),
-        F.array(F.lit("gold_like"), *[F.lit("synthetically_degraded")] * 3).alias("buckets"),
+        F.array(*map(F.lit, ("gold_like", "frontier_generated", "strong_anchor", "synthetically_degraded"))).alias("buckets"),
         F.transform(T.full_lines(body()), lambda x: F.concat(F.lit("The note includes "), x)).alias("seeds"),
     )
-    return W.run(examples, "doc_id")
+    return RF.refined(examples, "doc_id")
 
 
 @query("rubric_coverage_by_rule", f"""WITH {B.EVALS}
