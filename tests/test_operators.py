@@ -155,7 +155,53 @@ def test_cache_last_record_wins(spark, tmp_path):
         writers.append_cache(spark.createDataFrame([("k", value)], "key string, v string").coalesce(1), folder)
     rows = spark.createDataFrame([("k", 1, "old"), ("k", 2, "new"), ("j", 1, "x")], "key string, o int, v string")
     assert {r.key: r.v for r in M.latest_per_key(rows, "key", "o", ["v"]).collect()} == {"k": "new", "j": "x"}
-    assert readers.read_cache(spark, folder).count() == 1
+    for i in range(4):  # many files, whose order is not that of writing
+        writers.append_cache(spark.createDataFrame([("k", f"new{i}"), (f"only{i}", "x")], "key string, v string"), folder)
+    cached = {r.key: json.loads(r.raw)["v"] for r in readers.read_cache(spark, folder).collect()}
+    assert cached == {"k": "new3", **{f"only{i}": "x" for i in range(4)}}
+
+
+def test_row_keys_do_not_depend_on_files(spark, tmp_path):
+    lines = [json.dumps({"question": f"q{i}"}) for i in range(40)]
+    (tmp_path / "one.jsonl").write_text("\n".join(lines))
+    (tmp_path / "many").mkdir()
+    for i, line in enumerate(reversed(lines)):
+        (tmp_path / "many" / f"{i}.jsonl").write_text(line)
+    ids = [
+        {r.example_id for r in readers.normalize(readers.read_rows(spark, str(tmp_path / p))).collect()}
+        for p in ("one.jsonl", "many")
+    ]
+    assert ids[0] == ids[1] and len(ids[0]) == 40
+
+
+@pytest.mark.parametrize("value,want", [(0, "a"), (1, "b"), ("1", ""), ("0", ""), (True, ""), (2, ""), ("A", "a"), (None, "")])
+def test_label_types(spark, tmp_path, value, want):
+    row = {"id": "1", "response_a": "x", "response_b": "y", "label": value}
+    (tmp_path / "r.jsonl").write_text(json.dumps(row))
+    (tmp_path / "p.json").write_text(json.dumps({"rows": [row]}))
+    for rows in (readers.read_rows(spark, str(tmp_path / "r.jsonl")), readers.read_payload(spark, str(tmp_path / "p.json"))):
+        assert readers.normalize(rows).first().pair_correct_label == want
+
+
+def test_preference_ids_see_whole_texts(spark, tmp_path):
+    same = "x" * 300
+    rows = [{"prompt": same + str(i), "chosen": "c", "rejected": "r"} for i in range(2)]
+    (tmp_path / "p.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    got = readers.read_preferences(spark, str(tmp_path / "p.jsonl"), {}, "s").collect()
+    assert len({r.pair_id for r in got}) == 2
+
+
+def test_reasoning_is_whole_unless_a_limit_is_given(spark):
+    df = spark.createDataFrame([("word " * 400,)], "r string")
+    whole, cut = df.select(writers.clipped(F.col("r"), None), writers.clipped(F.col("r"), 600)).first()
+    assert whole == "word " * 400 and len(cut) <= 603 and cut.endswith("...")
+
+
+def test_uneven_shards_are_an_error():
+    from verdikt.operators import splits
+
+    with pytest.raises(ValueError):
+        splits.shard_of(F.lit(1), 9_997 * 6 // 10, 3)
 
 
 def test_cache_join_falls_back(spark):
@@ -183,7 +229,7 @@ def test_package_and_reports(spark, tmp_path):
     cand = spark.createDataFrame([("s__1", "c", "pair_anchor", "pair_response_b", "body")],
                                  "example_id string, candidate_id string, origin_kind string, source_label string, text string")
     out = {r.candidate_id: r for r in writers.package_evaluations(evals, rub, cand).collect()}
-    assert (out["c"].id, out["c"].candidate_role, len(out["c"].reasoning)) == ("1", "pair_anchor_b", 603)
+    assert (out["c"].id, out["c"].candidate_role, len(out["c"].reasoning)) == ("1", "pair_anchor_b", 700)
     assert (out["ghost"].candidate_role, out["ghost"].reasoning) == ("unknown", "")
     assert writers.write_bundle({"t": rub, "none": rub.where("false")}, str(tmp_path)) == ["t"]
     assert "| example_id |" in writers.markdown_table(rub)

@@ -40,6 +40,8 @@ def running_totals(
     of the table behind it: when it already fits, group sizes are not measured.
     """
     limit = max_group_rows(df.sparkSession) if max_rows is None else max_rows
+    if not keys:  # one way at every size: a window over the whole table is one task
+        return _sliced_totals(df, [], list(order), totals, limit)
     if (at_most is not None and at_most <= limit) or largest_group(df, keys) <= limit:
         window = (
             Window.partitionBy(*keys)
@@ -47,11 +49,12 @@ def running_totals(
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         return df.select("*", *[F.sum(c).over(window).alias(n) for n, c in totals.items()])
-    return _sliced_totals(df, list(keys), list(order), totals)
+    return _sliced_totals(df, list(keys), list(order), totals, limit)
 
 
-def _sliced_totals(df, keys, order, totals):
-    parts = shuffle_partitions(df.sparkSession)
+def _sliced_totals(df, keys, order, totals, limit):
+    """Totals over range slices of about ``limit`` rows at most, offset by the totals of the slices before."""
+    parts = max(shuffle_partitions(df.sparkSession), -(-df.count() // limit))
     staged = df.select("*", *[c.alias(f"_v_{n}") for n, c in totals.items()])
     range_keys = [F.col(k) for k in keys] + order
     sliced = durable(

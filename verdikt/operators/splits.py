@@ -51,6 +51,13 @@ def split_and_shard(rows: DataFrame, ordinal: str, split: str | None = None, tra
     return part.where((pos >= shard_index * size) & (pos < (shard_index + 1) * size))
 
 
+def shard_of(ordinal: Column, total: int, num_shards: int) -> Column:
+    """The contiguous equal shard of a 0-based position below ``total``; uneven shards are an error."""
+    if num_shards < 1 or total % num_shards:
+        raise ValueError(f"{total} rows cannot be divided evenly into {num_shards} shards")
+    return F.floor(ordinal / max(1, total // num_shards))
+
+
 def with_ordinal(rows: DataFrame, order: Sequence[Column], name: str = "ordinal",
                  max_rows: int | None = None) -> DataFrame:
     """Dense 0-based position over the whole table."""

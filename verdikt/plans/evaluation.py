@@ -61,11 +61,10 @@ def split_shard(spark, folder):
     n = B.table(spark, folder, "events").count()
     train, val = n * 6 // 10, n * 8 // 10 - n * 6 // 10
     pos = F.col("ordinal")
-    size = n // 5
     return rows.select(
         "event_id", "ordinal",
         F.when(pos < train, "train").when(pos < train + val, "val").otherwise("rest").alias("part"),
-        F.when(pos < train, F.floor(pos / size)).alias("shard"),
+        F.when(pos < train, P.shard_of(pos, train, 3)).alias("shard"),
     )
 
 
@@ -110,7 +109,7 @@ def split_leakage(spark, folder):
 
 
 @query("joined_pairs", """WITH c AS (SELECT * FROM conversations)
-SELECT u.conv_id * 1000 + u.turn AS pair_id, 'train' AS split_name, md5(u.text) AS question_digest, md5(a.text) AS a_digest,
+SELECT u.conv_id || ':' || u.turn AS pair_id, 'train' AS split_name, md5(u.text) AS question_digest, md5(a.text) AS a_digest,
   md5(coalesce(b.text, '')) AS b_digest, u.turn % 2 <> 0 AS question_mismatch, CASE WHEN length(a.text) >= length(coalesce(b.text, '')) THEN 'A>B' ELSE 'B>A' END AS label
 FROM c u JOIN c a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
 LEFT JOIN c b ON b.conv_id = u.conv_id AND b.turn = u.turn + 3 AND b.role = 'assistant' WHERE u.role = 'user'""")
@@ -122,7 +121,7 @@ def joined_pairs(spark, folder):
     b = say.select("conv_id", (F.col("turn") - 3).alias("turn"), F.col("text").alias("response_b"))
     asked = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     full = asked.join(a, ["conv_id", "turn"]).join(b, ["conv_id", "turn"], "left")
-    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id")
+    key = F.concat_ws(":", "conv_id", "turn").alias("pair_id")
     blank = F.lit("")
     local = full.select(key, F.lit("local").alias("source"), "question")
     official = full.select(
@@ -163,7 +162,7 @@ def item_pairs(spark, folder):
     """chosen x rejected of one item, the lists being lines of one document."""
     l = F.col("l")
     items = docs(spark, folder).select("doc_id", T.full_lines(body()).alias("l")).select(
-        "doc_id", F.slice(l, 1, 2).alias("chosen"), F.slice(l, 3, 1_000_000).alias("rejected")
+        "doc_id", F.slice(l, 1, 2).alias("chosen"), F.slice(l, F.lit(3), F.greatest(F.size(l), F.lit(1))).alias("rejected")
     )
     out = P.expand_item(items, max_rejected=3)
     return out.select("doc_id", "chosen_index", "rejected_index", F.md5("response_a").alias("a_digest"),

@@ -12,6 +12,7 @@ from verdikt.functions import text as T
 from verdikt.operators.merge import latest_per_key
 
 FIELDS = "map<string,string>"
+STAMP = "appended_at"
 
 # Column aliases in order of preference.
 CONTEXT_KEYS = ("conversation", "dialogue", "transcript", "input", "context", "source_context", "source_text",
@@ -35,27 +36,30 @@ KNOWN_KEYS = (*OTHER_KEYS, *CONTEXT_KEYS, *PROMPT_KEYS, *REFERENCE_KEYS, *AUGMEN
 
 
 def read_rows(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """JSON lines as (position, raw, fields).
+    """JSON lines as (row_key, raw, fields).
 
-    Blank lines, malformed lines and rows that are not objects are skipped;
-    strict mode raises on the first malformed line instead.
+    ``row_key`` is a digest of the whole line: it names a row that has no id of its
+    own and does not depend on how files are split; equal lines share it.  Blank
+    lines, malformed lines and rows that are not objects are skipped; strict mode
+    raises on the first malformed line instead.
     """
-    text = spark.read.text(path).withColumn("position", F.monotonically_increasing_id())
-    lines = text.where(F.trim("value") != "")
+    lines = spark.read.text(path).where(F.trim("value") != "")
     mode = {"mode": "FAILFAST"} if strict else {}
-    parsed = lines.select("position", F.col("value").alias("raw"), F.from_json("value", FIELDS, mode).alias("fields"))
+    parsed = lines.select(row_key(F.col("value")), F.col("value").alias("raw"), F.from_json("value", FIELDS, mode).alias("fields"))
     return parsed if strict else parsed.where(F.col("fields").isNotNull() & F.trim("raw").startswith("{"))
 
 
+def row_key(raw: Column) -> Column:
+    return F.substring(F.sha2(raw, 256), 1, 20).alias("row_key")
+
+
 def read_payload(spark: SparkSession, path: str) -> DataFrame:
     """A whole-file JSON array, or the list under ``rows`` or ``examples``."""
     whole = spark.read.text(path, wholetext=True)
-    rows = f"array<{FIELDS}>"
-    nested = F.from_json("value", f"struct<rows:{rows},examples:{rows}>")
-    listed = F.coalesce(F.from_json("value", rows), nested["rows"], nested["examples"])
-    return whole.select(F.posexplode(listed).alias("position", "fields")).where(F.col("fields").isNotNull()).select(
-        "position", F.to_json("fields").alias("raw"), "fields"
-    )
+    nested = F.from_json("value", "struct<rows:array<variant>,examples:array<variant>>")
+    listed = F.coalesce(F.from_json("value", "array<variant>"), nested["rows"], nested["examples"])
+    rows = whole.select(F.explode(listed).alias("row")).select(F.to_json("row").alias("raw"))  # value types stay
+    return rows.select(row_key(F.col("raw")), "raw", F.from_json("raw", FIELDS).alias("fields")).where(F.col("fields").isNotNull())
 
 
 def field(*keys: str) -> Column:
@@ -81,12 +85,12 @@ def normalize(rows: DataFrame, reference_first: Sequence[str] = (), source_filte
         "a": field(*SIDE_A_KEYS), "b": field(*SIDE_B_KEYS),
     })
     source = F.when(field("source") != "", field("source")).otherwise(F.col("profile"))
-    labels = [F.nullif(_label(F.col("fields")[k]), F.lit("")) for k in LABEL_KEYS]
+    labels = [F.nullif(_label(F.col("raw"), k), F.lit("")) for k in LABEL_KEYS]
     both = (F.col("a") != "") & (F.col("b") != "")
     augmented = F.when(F.col("augmented") == F.col("reference"), "").otherwise(F.col("augmented"))
     out = base.select(
-        "position",
-        X.example_key(source, field("source_id", "id"), F.col("position")).alias("example_id"),
+        "row_key",
+        X.example_key(source, field("source_id", "id"), F.col("row_key")).alias("example_id"),
         source.alias("source"),
         field("source_id", "id").alias("source_id"),
         field("dataset_subset").alias("dataset_subset"),
@@ -111,10 +115,12 @@ def normalize(rows: DataFrame, reference_first: Sequence[str] = (), source_filte
     return out
 
 
-def _label(raw: Column) -> Column:
-    """Label aliases, or a JSON number 0/1; true and false stay unlabelled."""
-    number = F.when(raw.rlike(r"^-?\d+(\.\d+)?$"), raw.cast("double").cast("int"))
-    return F.when(number.isNotNull(), X.numeric_pair_label(number)).otherwise(X.pair_label(raw))
+def _label(raw: Column, key: str) -> Column:
+    """Label aliases as JSON text, or the JSON numbers 0 and 1; digits as text, true and false stay unlabelled."""
+    value = F.try_variant_get(F.try_parse_json(raw), f"$.{key}", "variant")
+    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    number = F.try_variant_get(value, "$", "double").cast("int")
+    return F.when(kind == "STRING", X.pair_label(text)).when(kind != "BOOLEAN", X.numeric_pair_label(number)).otherwise("")
 
 
 def anchors(examples: DataFrame) -> DataFrame:
@@ -140,10 +146,17 @@ def anchors(examples: DataFrame) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str, value: str = "raw") -> DataFrame:
-    """Append-only log of {"key": ..., payload}: the last record per key wins."""
-    rows = read_rows(spark, path).select(F.col("fields")["key"].alias("key"), "position", "raw")
+    """Append-only log of {"key": ..., payload}: the record appended last wins.
+
+    append_cache stamps every record; records without a stamp are older than all
+    others, and of equal stamps the greater text wins.
+    """
+    fields = F.col("fields")
+    rows = read_rows(spark, path).select(
+        fields["key"].alias("key"), F.struct(F.coalesce(fields[STAMP].cast("bigint"), F.lit(-1)), F.col("raw")).alias("at"), "raw"
+    )
     log = rows.where(F.coalesce("key", F.lit("")) != "")
-    return latest_per_key(log, "key", "position", ["raw"]).select("key", F.col("raw").alias(value))
+    return latest_per_key(log, "key", "at", ["raw"]).select("key", F.col("raw").alias(value))
 
 
 def cached_votes(requests: DataFrame, cache: DataFrame, fallback: Column) -> DataFrame:
@@ -180,7 +193,7 @@ def read_slice(spark: SparkSession, path: str, name: str, families: Sequence[str
     label, family = field("label"), F.lower(field("source_family"))
     return read_rows(spark, path).select(
         F.when(field("pair_id") != "", field("pair_id"))
-        .otherwise(F.concat(F.lit(f"{name}_"), F.col("position").cast("string"))).alias("pair_id"),
+        .otherwise(F.concat(F.lit(f"{name}_"), F.col("row_key"))).alias("pair_id"),
         field("prompt").alias("prompt"), field("response_a", "chosen").alias("response_a"),
         field("response_b", "rejected").alias("response_b"),
         F.when(label.isin("A>B", "B>A", "A=B"), label).otherwise("A>B").alias("label"),
@@ -192,8 +205,8 @@ def read_preferences(spark: SparkSession, path: str, mapping: Mapping[str, str],
     """Preference JSON lines under a column mapping; incomplete rows are dropped."""
     cols = {c: field(mapping.get(c, c)) for c in ("pair_id", "prompt", "chosen", "rejected", "source_family", "focus_kind")}
     rows = read_rows(spark, path).select(*[v.alias(k) for k, v in cols.items()], F.lit(source).alias("source"))
-    digest = F.substring(F.sha1(F.concat_ws("::", "source", F.substring("prompt", 1, 200), F.substring("chosen", 1, 200),
-                                            F.substring("rejected", 1, 200))), 1, 12)
+    parts = [F.sha2(F.col(c), 256) for c in ("source", "prompt", "chosen", "rejected")]  # whole texts
+    digest = F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, 20)
     kept = rows.where((F.col("prompt") != "") & (F.col("chosen") != "") & (F.col("rejected") != ""))
     return kept.withColumn("pair_id", F.when(F.col("pair_id") != "", F.col("pair_id")).otherwise(digest))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdikt.functions import rubrics as X
+from verdikt.sources.readers import STAMP
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -13,8 +16,8 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_cache(df: DataFrame, path: str) -> None:
-    """Append key/payload records; readers take the latest per key."""
-    df.write.mode("append").json(path)
+    """Append key/payload records with the time of the call; readers take the latest per key."""
+    df.withColumn(STAMP, F.lit(time.time_ns())).write.mode("append").json(path)
 
 
 def write_csv(df: DataFrame, path: str) -> bool:
@@ -41,12 +44,15 @@ def markdown_table(df: DataFrame, limit: int = 200) -> str:
     return "\n".join([head, rule, *body])
 
 
-def clipped(reasoning: Column, limit: int) -> Column:
+def clipped(reasoning: Column, limit: int | None) -> Column:
+    """The whole text, or its first ``limit`` characters and three dots where a limit is given."""
     text = F.coalesce(reasoning, F.lit(""))
+    if limit is None:
+        return text
     return F.when(F.length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit)), F.lit("..."))).otherwise(text)
 
 
-def package_evaluations(evals: DataFrame, rubrics: DataFrame, candidates: DataFrame, limit: int = 600) -> DataFrame:
+def package_evaluations(evals: DataFrame, rubrics: DataFrame, candidates: DataFrame, limit: int | None = None) -> DataFrame:
     """Evaluations joined to rubric texts and candidates; unknown candidates get a role."""
     r = rubrics.select("example_id", "rubric_id", F.col("text").alias("rubric_text"))
     c = candidates.select(
