@@ -9,8 +9,10 @@ most a.  A cutoff is used only if that is so for a = alpha / rules and
 d = delta / (strata * rules); within a stratum and rule, cutoffs are tried from
 the mildest on (fixed sequence, which needs no further correction).  So, with
 probability 1 - delta, in every stratum together all rules reject at most a
-share alpha of good documents.  A stratum with too few labels proves no cutoff
-and rejects nothing beyond the base rule.
+share alpha of good documents.  Of the proven cutoffs the mildest is used that
+rejects nearly as many labelled bad documents (NEARLY percent) as the strictest;
+a rule that rejects none is not used.  A stratum with too few labels proves no
+cutoff and rejects nothing beyond the base rule.
 
 Defined results: a null or blank text has no words and fails the base rule; a
 null stratum is ``und``; ratios over nothing are zero; repeated rows are judged
@@ -36,6 +38,7 @@ SYMBOLS = "#*$%&|<>"
 CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 MIN_WORDS = 50
+NEARLY = 98
 
 
 @dataclass(frozen=True)
@@ -108,17 +111,24 @@ def stratum(column: Column) -> Column:
 
 
 def lower_tail(k: int, n: int, p: float) -> float:
-    """P(Bin(n, p) <= k), exact up to rounding; terms are added from the largest on."""
+    """P(Bin(n, p) <= k), exact up to rounding; terms are added from the largest on, both ways."""
     if k >= n or p <= 0:
         return 1.0
-    term = math.exp(
-        math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    top = min(k, int((n + 1) * p))
+    first = math.exp(
+        math.lgamma(n + 1) - math.lgamma(top + 1) - math.lgamma(n - top + 1) + top * math.log(p) + (n - top) * math.log1p(-p)
     )
-    total = 0.0
-    for i in range(k, -1, -1):
-        total += term
+    total, term = first, first
+    for i in range(top, 0, -1):
         term *= i / (n - i + 1) * (1 - p) / p
-        if i < n * p and term < total * 1e-17:
+        total += term
+        if term < total * 1e-17:
+            break
+    term = first
+    for i in range(top, k):
+        term *= (n - i) / (i + 1) * p / (1 - p)
+        total += term
+        if term < total * 1e-17:
             break
     return min(1.0, total)
 
@@ -133,13 +143,19 @@ def calibrate(
     driver is one row for each stratum that has enough labels to prove anything.
     """
     spark = metrics.sparkSession
-    good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("good"))
+    judged = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("good"))
+    good, bad = F.col("good") == 1, F.col("good") == 0
+
+    def rejected(rule: Rule, cut: int, side: Column) -> Column:
+        return F.count(F.when(rule.above(cut) & side, 1))
+
     counted = (
-        metrics.join(good.where("good = 1").select("doc_id"), "doc_id")
+        metrics.join(judged, "doc_id")
         .groupBy("stratum")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum(rule.above(cut).cast("long")).alias(f"{rule.name}_{cut}") for rule in rules for cut in rule.cutoffs],
+            F.count(F.when(good, 1)).alias("n"),
+            *[rejected(rule, cut, good).alias(f"{rule.name}_{cut}") for rule in rules for cut in rule.cutoffs],
+            *[rejected(rule, cut, bad).alias(f"{rule.name}_{cut}_bad") for rule in rules for cut in rule.cutoffs],
         )
         .where(F.col("n") >= math.ceil(math.log(delta) / math.log1p(-alpha)))
     )
@@ -149,12 +165,14 @@ def calibrate(
     for row in rows:
         cutoffs: list[int | None] = []
         for rule in rules:
-            proven = None
+            proven: dict[int, int] = {}
             for cut in rule.cutoffs:
                 if lower_tail(row[f"{rule.name}_{cut}"], row["n"], share) > delta / tests:
                     break
-                proven = cut
-            cutoffs.append(proven)
+                proven[cut] = row[f"{rule.name}_{cut}_bad"]
+            most = max(proven.values(), default=0)
+            enough = [cut for cut, caught in proven.items() if most and 100 * caught >= NEARLY * most]
+            cutoffs.append(max(enough, default=None))
         found.append((row["stratum"], *cutoffs))
     return spark.createDataFrame(found, "stratum string, " + ", ".join(f"{rule.name} int" for rule in rules))
 

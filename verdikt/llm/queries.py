@@ -13,7 +13,7 @@ from verdikt.llm.html_text import extract
 from verdikt.llm.language_id import HELD_OUT, identify
 from verdikt.llm.packing import pack_documents
 from verdikt.llm.quality_ranker import rank_quality
-from verdikt.llm.quality_rules import METRICS, RULES, quality_rules
+from verdikt.llm.quality_rules import METRICS, NEARLY, RULES, quality_rules
 from verdikt.llm.quotations import reply_ordered
 from verdikt.llm.secrets import with_findings
 from verdikt.llm.simhash import hexadecimal, near_duplicates
@@ -65,20 +65,22 @@ metrics AS (
     coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
     length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals
   FROM split s LEFT JOIN covered c ON s.rid = c.rid),
-good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-holdout AS (SELECT m.* FROM metrics m JOIN good USING (doc_id)),
-strata AS (SELECT stratum, count(*) AS n FROM holdout GROUP BY 1 HAVING count(*) >= ceil(ln({DELTA}) / ln(1 - {ALPHA}))),
+judged_labels AS (SELECT doc_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+holdout AS (SELECT m.*, good FROM metrics m JOIN judged_labels USING (doc_id)),
+strata AS (SELECT stratum, count(*) FILTER (good = 1) AS n FROM holdout GROUP BY 1
+  HAVING count(*) FILTER (good = 1) >= ceil(ln({DELTA}) / ln(1 - {ALPHA}))),
 counts AS (
-  SELECT stratum, n, rule, step, cut, share,
-    count(*) FILTER (WHERE CASE rule {_PARTS} END * 1000 > CASE rule {_WHOLES} END * cut) AS k
-  FROM holdout JOIN strata USING (stratum) CROSS JOIN cuts GROUP BY ALL),
+  SELECT stratum, n, rule, step, cut, share, count(*) FILTER (over AND good = 1) AS k, count(*) FILTER (over AND good = 0) AS caught
+  FROM (SELECT *, CASE rule {_PARTS} END * 1000 > CASE rule {_WHOLES} END * cut AS over
+    FROM holdout JOIN strata USING (stratum) CROSS JOIN cuts) GROUP BY ALL),
 tested AS (
   SELECT *, k < n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END
       - lgamma(n - i + 1) + i * ln(share) + (n - i) * ln(1 - share))))
     <= {DELTA} / ((SELECT count(*) FROM strata) * {len(RULES)}) AS ok
   FROM counts),
-proven AS (SELECT stratum, rule, min(cut) AS cut FROM tested t WHERE ok AND NOT EXISTS (
-    SELECT 1 FROM tested u WHERE u.stratum = t.stratum AND u.rule = t.rule AND u.step < t.step AND NOT u.ok) GROUP BY 1, 2),
+sure AS (SELECT *, max(caught) OVER (PARTITION BY stratum, rule) AS most FROM tested t WHERE ok AND NOT EXISTS (
+    SELECT 1 FROM tested u WHERE u.stratum = t.stratum AND u.rule = t.rule AND u.step < t.step AND NOT u.ok)),
+proven AS (SELECT stratum, rule, max(cut) AS cut FROM sure WHERE most > 0 AND 100 * caught >= {NEARLY} * most GROUP BY 1, 2),
 hits AS (
   SELECT DISTINCT m.rid FROM metrics m JOIN proven p ON m.stratum = p.stratum
   WHERE CASE p.rule {_PARTS} END * 1000 > CASE p.rule {_WHOLES} END * p.cut),
