@@ -127,12 +127,17 @@ def rule_facts(texts: Column, buckets: Column) -> Column:
     return F.array(*[facts(wording) for wording, _ in RULES])
 
 
+def near_in_size(a: Column, b: Column) -> Column:
+    """Sets of very different size cannot reach the overlap of 0.7: a cheap test before the costly one."""
+    return (F.size(a) * 10 >= F.size(b) * 7) & (F.size(b) * 10 >= F.size(a) * 7)
+
+
 def turned_away(active: Column, rubric: Column, facts: Column) -> Column:
     """The first gate that a rubric fails against the active ones; null if none."""
     return (
         F.when(rubric["text"] == "", "empty")
         .when(F.exists(active, lambda o: o["text"] == rubric["text"]), "duplicate")
-        .when(F.exists(active, lambda o: X.overlaps(rubric["words"], o["words"])), "overlap")
+        .when(F.exists(active, lambda o: near_in_size(rubric["words"], o["words"]) & X.overlaps(rubric["words"], o["words"])), "overlap")
         .when(F.exists(active, lambda o: X.conflicts(rubric["side"], rubric["tokens"], o["side"], o["tokens"])), "conflict")
         .when(F.get(facts, rubric["rule"])["misaligned"], "misaligned")
     )

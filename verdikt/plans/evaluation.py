@@ -15,7 +15,7 @@ from verdikt.operators import splits as P
 from verdikt.plans import base as B
 from verdikt.plans import pairs as Q
 from verdikt.plans.merging import BEHAVIOR, CASE_FAMILY, NORM
-from verdikt.plans.registry import query
+from verdikt.plans.registry import SQL, query
 from verdikt.plans.texts import SQL_LINES, _sql_list, _truncated, docs
 
 
@@ -567,23 +567,26 @@ def selection_audit(spark, folder):
     )
 
 
-@query("promotion_gates", f"""WITH {Q.VERIFIED},
-x AS (SELECT source_family AS f, label, CASE WHEN pts_a > pts_b THEN 'A>B' WHEN pts_a < pts_b THEN 'B>A' ELSE 'A=B' END AS d, exact_task, v_triggered FROM verified),
+@query("promotion_gates", f"""WITH {Q.JUDGED},
+x AS (SELECT source_family AS f, label, CASE WHEN pts_a > pts_b THEN 'A>B' WHEN pts_a < pts_b THEN 'B>A' ELSE 'A=B' END AS d, exact_task, v_triggered, routed, order_consistent FROM judged),
+e AS (SELECT 100.0::DOUBLE * sum(correct_count) / sum(pair_count) AS external FROM ({SQL['external_slices']})),
 s AS (SELECT 100.0::DOUBLE * count(*) FILTER (d = label) / count(*) AS overall, 100.0::DOUBLE * count(*) FILTER (d = label AND f = 'mmlu-pro') / count(*) FILTER (f = 'mmlu-pro') AS mmlu,
   100.0::DOUBLE * count(*) FILTER (d = label AND f = 'livebench-reasoning') / count(*) FILTER (f = 'livebench-reasoning') AS reasoning,
   100.0::DOUBLE * count(*) FILTER (d = label AND f = 'livebench-math') / count(*) FILTER (f = 'livebench-math') AS math,
   count(*) FILTER (d <> label AND d = 'A=B') / count(*)::DOUBLE AS tie, count(*) FILTER (d <> label AND exact_task) / count(*)::DOUBLE AS exact,
-  count(*) FILTER (v_triggered AND f = 'livebench-reasoning') / count(*) FILTER (f = 'livebench-reasoning')::DOUBLE AS trig FROM x)
+  count(*) FILTER (v_triggered AND f = 'livebench-reasoning') / count(*) FILTER (f = 'livebench-reasoning')::DOUBLE AS trig,
+  coalesce(count(*) FILTER (routed AND NOT order_consistent) / nullif(count(*) FILTER (routed), 0)::DOUBLE, 0) AS torn FROM x)
 SELECT 'overall_wu' AS gate, round(overall, 6) AS value, overall >= 86 AS passed FROM s UNION ALL SELECT 'mmlu_pro_wu', round(mmlu, 6), mmlu >= 82 FROM s
 UNION ALL SELECT 'reasoning_wu', round(reasoning, 6), reasoning >= 82 FROM s UNION ALL SELECT 'math_wu', round(math, 6), math >= 82 FROM s
 UNION ALL SELECT 'tie_failure_rate', round(tie, 6), tie <= 0.05::DOUBLE FROM s UNION ALL SELECT 'exact_answer_failure_rate', round(exact, 6), exact <= 0.06::DOUBLE FROM s
 UNION ALL SELECT 'reasoning_verifier_trigger_rate', round(trig, 6), trig >= 0.10::DOUBLE FROM s
-UNION ALL SELECT 'discriminator_order_disagreement_rate', 0.0::DOUBLE, true FROM s""")
+UNION ALL SELECT 'discriminator_order_disagreement_rate', round(torn, 6), torn <= 0.05::DOUBLE FROM s
+UNION ALL SELECT 'external_slice_wu', round(external, 6), external >= 75 FROM e""")
 def promotion_gates(spark, folder):
     """Gate table of one run; the external slice gate is absent when there is no slice."""
-    rows = Q.verified(Q.pair_rows(spark, folder)).select(
-        "source_family", "label", D.compare(F.col("score_a"), F.col("score_b")).alias("d"), "exact_task",
-        F.col("verifier.triggered").alias("t"),
+    rows = Q.judged(spark, folder).select(
+        "source_family", "label", F.col("scored").alias("d"), "exact_task",
+        F.col("verifier.triggered").alias("t"), "routed", (F.col("routed") & ~F.col("disc_consistent")).alias("torn"),
     )
     right, failed = F.col("d") == F.col("label"), F.col("d") != F.col("label")
 
@@ -600,6 +603,9 @@ def promotion_gates(spark, folder):
         acc("mmlu-pro").alias("mmlu"), acc("livebench-reasoning").alias("reasoning"), acc("livebench-math").alias("math"),
         n(failed & (F.col("d") == D.EVEN)).alias("tie_failures"), n(failed & F.col("exact_task")).alias("exact_failures"),
         T.ratio(n(reasoning & F.col("t")), n(reasoning)).alias("reasoning_trigger"),
-        F.lit(0.0).alias("disagreement"), F.lit(None).cast("double").alias("external"),
+        T.ratio(n(F.col("torn")), n(F.col("routed"))).alias("disagreement"),
     )
+    external = external_slices(spark, folder).agg((F.sum("correct_count") * 100.0 / F.sum("pair_count")).alias("external"))
+    both = summary.unionByName(external, allowMissingColumns=True)  # two single rows become one
+    summary = both.agg(*[F.max(c).alias(c) for c in both.columns])
     return A.promotion_gates(summary).withColumn("value", F.round("value", 6))

@@ -135,7 +135,8 @@ def judged(spark, folder):
     One shuffle (the pair key); every later layer is a projection of that row.
     """
     pairs = verified(pair_rows(spark, folder))
-    pairs = pairs.withColumns({"attempts": attempts(), "holistic": holistic_rows()})
+    scored = D.compare(F.col("score_a"), F.col("score_b"))  # before any override
+    pairs = pairs.withColumns({"attempts": attempts(), "holistic": holistic_rows(), "scored": scored})
     df = C.with_holistic(C.with_discriminator(pairs.drop("a", "b", "sig_a", "sig_b"), "attempts"), "holistic")
     df = C.stabilize(C.start(df.drop("attempts", "holistic")))
     v = F.col("verifier")
