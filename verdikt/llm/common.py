@@ -10,6 +10,7 @@ from zlib import crc32
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from verdikt.session import ship_package
 
@@ -69,7 +70,26 @@ def map_batches(
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def with_column_of(df: DataFrame, source: str, target: str, kind: DataType, fn: Callable[[list], pa.Array]) -> DataFrame:
+    """``df`` with a column ``target`` that ``fn`` makes of whole values of ``source``, in scan order, no shuffle.
+
+    A column of that name is replaced in its place.  Values are turned into
+    Python objects a few hundred rows at a time.
+    """
+    ship_package(df.sparkSession)
+    names = df.columns if target in df.columns else [*df.columns, target]
+    schema = StructType([StructField(n, kind) if n == target else df.schema[n] for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 500):
+                made = fn(part[source].to_pylist())
+                yield pa.RecordBatch.from_arrays([made if n == target else part[n] for n in names], names)
+
+    return df.mapInArrow(run, schema)
+
+
+def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that what a task holds at once does not follow the batch size."""
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)

@@ -25,13 +25,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from verdikt.llm.common import pin
-from verdikt.session import ship_package
+from verdikt.llm.common import pin, with_column_of
 
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -91,15 +90,15 @@ def text_metrics(text: str) -> tuple[int, ...]:
     )
 
 
-@F.pandas_udf(StructType([StructField(name, LongType()) for name in METRICS]))
-def _metrics(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text_metrics(text or "") for text in texts], columns=list(METRICS), dtype="int64")
+def with_metrics(docs: DataFrame, text: str = "text", name: str = "metrics") -> DataFrame:
+    """``docs`` plus a struct column of the METRICS."""
 
+    def measured(texts: list) -> pa.Array:
+        rows = [text_metrics(text or "") for text in texts]
+        columns = zip(*rows, strict=True) if rows else [()] * len(METRICS)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(METRICS))
 
-def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus a struct column ``metrics``."""
-    ship_package(docs.sparkSession)
-    return docs.withColumn("metrics", _metrics(text))
+    return with_column_of(docs, text, name, StructType([StructField(name, LongType()) for name in METRICS]), measured)
 
 
 def base_failed() -> Column:
@@ -211,7 +210,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, **limits: float) -> DataFrame:
     """The documents that pass, with their own columns; texts take part in no shuffle."""
     narrow = with_metrics(docs.select("doc_id", stratum(F.col("lang")).alias("stratum"), "text"))
     cutoffs = calibrate(narrow.select("doc_id", "stratum", "metrics.*"), labels, **limits)
-    own = [F.col(f"own.`{name}`").alias(name) for name in docs.columns]
-    whole = with_metrics(docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("own"), stratum(F.col("lang")).alias("stratum"), "text"))
-    judged = judge(whole.select("own", "stratum", "metrics.*"), cutoffs)
-    return judged.where("kept").select(*own)
+    fresh = "metrics"
+    while fresh in docs.columns:
+        fresh += "_"
+    own = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("own")
+    whole = with_metrics(docs, name=fresh).select(own, stratum(F.col("lang")).alias("stratum"), f"{fresh}.*")
+    return judge(whole, cutoffs).where("kept").select(*[F.col(f"own.`{name}`").alias(name) for name in docs.columns])

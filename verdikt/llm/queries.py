@@ -123,7 +123,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_secret_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_findings(table(spark, sf_dir, "documents"), vocabulary()[1:]).select("doc_id", "findings.*")
+    found = with_findings(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()[1:]).select("doc_id", "findings.*")
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("written").alias("spans"), "n_random"
     )

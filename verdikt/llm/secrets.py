@@ -17,14 +17,14 @@ from __future__ import annotations
 import re
 from hashlib import sha256
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from verdikt.llm.common import with_column_of
 from verdikt.llm.tokens import encoding
-from verdikt.session import ship_package
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(
@@ -97,20 +97,19 @@ FINDINGS = StructType(
 
 def with_findings(docs: DataFrame, vocabulary: tuple[str, str], most: float = MOST) -> DataFrame:
     """``docs`` plus a struct column ``findings``; ``vocabulary``: the arguments of tokens.encoding."""
-    ship_package(docs.sparkSession)
+    kind = to_arrow_type(FINDINGS)
 
-    @F.pandas_udf(FINDINGS)
-    def findings(texts: pd.Series) -> pd.DataFrame:
+    def findings(texts: list) -> pa.Array:
         encode = encoding(*vocabulary).encode_ordinary
         rows = []
         for text in texts:
             base, spans = scan(text or "", encode, most)
-            counts = [sum(s[2] == kind for s in spans) for kind in KINDS]
-            named = [{"start": a, "end": b, "kind": k} for a, b, k in spans]
-            rows.append((*counts, sha256(written(base).encode()).hexdigest(), np.array(named, dtype=object), written(spans)))
-        return pd.DataFrame(rows, columns=FINDINGS.names)
+            row = {f"n_{k}": sum(s[2] == k for s in spans) for k in KINDS}
+            row |= {"base_sha256": sha256(written(base).encode()).hexdigest(), "written": written(spans)}
+            rows.append(row | {"spans": [{"start": a, "end": b, "kind": k} for a, b, k in spans]})
+        return pa.array(rows, kind)
 
-    return docs.withColumn("findings", findings("text"))
+    return with_column_of(docs, "text", "findings", FINDINGS, findings)
 
 
 def mask_secrets(docs: DataFrame, vocabulary: tuple[str, str], most: float = MOST) -> DataFrame:
@@ -118,14 +117,12 @@ def mask_secrets(docs: DataFrame, vocabulary: tuple[str, str], most: float = MOS
 
     n_chars, where there is one, is counted again for the new text; other texts keep theirs.
     """
-    ship_package(docs.sparkSession)
 
-    @F.pandas_udf(StringType())
-    def clean(texts: pd.Series) -> pd.Series:
+    def clean(texts: list) -> pa.Array:
         encode = encoding(*vocabulary).encode_ordinary
-        return pd.Series([text if text is None else masked(text, scan(text, encode, most)[1]) for text in texts], dtype=object)
+        return pa.array([text if text is None else masked(text, scan(text, encode, most)[1]) for text in texts], pa.string())
 
-    out = docs.withColumn("text", clean("text"))
+    out = with_column_of(docs, "text", "text", StringType(), clean)
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(kind), F.col("n_chars")))

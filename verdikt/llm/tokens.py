@@ -8,7 +8,7 @@ from array import array
 from functools import lru_cache
 
 UNUSUAL = re.compile(r"[^\S \n]|\s\s|<\|")
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 
 
 @lru_cache
