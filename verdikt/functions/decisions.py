@@ -49,6 +49,7 @@ FORMAT_CUES = {
         r"\bin\s+detail\b",
     ),
 }
+# Line shapes of formatted answers.
 BULLET_LINE = r"^\s*([-*\x{2022}]|\d+[.)])\s+"
 TABLE_LINE = r"^\s*\|.+\|\s*$"
 TABLE_RULE = r"^\s*\|?\s*-{3,}.*\|.*$"
@@ -149,6 +150,7 @@ def format_verdict(votes_a: Column, votes_b: Column) -> Column:
 
 def verifier_score(family: Column, s: Column, exact_task: Column) -> Column:
     """Additive answer-signal score of one side."""
+    # The points below.
     def points(flag: Column, value: float) -> Column:
         return F.when(flag, value).otherwise(0.0)
 

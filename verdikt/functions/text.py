@@ -119,13 +119,6 @@ def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
     )
 
 
-def overlap_max(a: Column, b: Column) -> Column:
-    """Shared tokens over the larger set; 0 when a side is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b))
-    )
-
-
 def overlap_min(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(
         F.lit(1), F.least(F.size(a), F.size(b))

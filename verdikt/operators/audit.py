@@ -57,6 +57,7 @@ def selection_score(agg: DataFrame, min_family: float, max_gap: float, max_failu
                     max_exact: int | None = None, max_ties: int | None = None) -> DataFrame:
     """Weighted base minus piecewise-linear penalties, and the combined gate."""
     c = F.col
+    # Slopes and offsets of the penalties.
     penalty = (
         under(c("worst_family_wu"), min_family, 2.0) + over(c("mean_gap"), max_gap, 1.0)
         + over(c("max_failure_count"), max_failures, 0.50) + over(c("max_exact_failures"), max_exact, 0.35)

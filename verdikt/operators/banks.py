@@ -65,6 +65,7 @@ def matched_categories(rubrics: DataFrame, rules: Sequence[CategoryRule], text:
 
 
 def representative_score(m: Column, words: Column) -> Column:
+    # Bonuses and the length penalty of a representative.
     return (
         (m["score"] + m["hits"]).cast("double")
         + F.when(F.col("source_stage") == "initial", 2.5).otherwise(0.0)
@@ -179,6 +180,7 @@ def decomposition_gate(wide: DataFrame, parent: str, left: str, right: str,
 def bank_judgment(banks: DataFrame, overlap: str = "overlap") -> DataFrame:
     """Heuristic 0-10 scores of a bank from its size, phrasing and overlap."""
     n = F.col("rubric_count").cast("double")
+    # Offsets and slopes of the heuristic scores.
     parts = {
         "coverage": F.least(F.lit(10.0), 4.0 + n / 3.0),
         "atomicity": F.greatest(F.lit(0.0), 9.0 - F.col("stacked")),

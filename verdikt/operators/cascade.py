@@ -132,6 +132,7 @@ def discriminator_route(rubric_count: Column, verifier_decision: Column, verifie
                         small_margin: Column | None = None) -> Column:
     """Whether the costly discriminator runs for a pair."""
     small = F.lit(False) if small_margin is None else small_margin
+    # Rubric counts and margins of the routes.
     least = F.when(small, 14 if strict_mode else 12).otherwise(16 if strict_mode else 14)
     limit = F.when(small, 0.01 if strict_mode else 0.0125).otherwise(0.0025 if strict_mode else 0.0035)
     reasoning = F.col("source_family") == "livebench-reasoning"
