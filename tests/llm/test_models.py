@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from verdikt.llm.quality_ranker import preference_weights, quantile_cut, rank_quality
 from verdikt.llm.queries import op3, op6
-from verdikt.llm.toxicity import Model, toxicity, typical
+from verdikt.llm.toxicity import LEVELS, Model, toxicity, typical
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -77,4 +77,5 @@ def test_gain_of_typical_words():
     words = typical(Counter({b"vile": 40, b"the": 50}), 50, Counter({b"the": 500}), 500)
     assert words == [b"vile"]
     model = Model(b"the plain words of every day go here and there", b"vile stuff wretched")
-    assert model.gain(b"wretched") > 3 and model.gain(b"vile") > 0 and model.gain(b"every") <= 0 and model.gain(b"zqxj") <= 0
+    assert model.gain(b"wretched") > 3 and model.gain(b"vile") > 0
+    assert model.gain(b"every") < LEVELS[0] and model.gain(b"zqxj") < LEVELS[0]
