@@ -81,3 +81,21 @@ def test_awkward_rows(spark, awkward):
     assert kept.columns == awkward.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 3, 4, 4, 7]
     assert near_duplicates(awkward.limit(0)).count() == 0
+
+
+def test_one_of_each_judges_every_row(spark):
+    same, other, third = "a b c d e f g h", "one two three four five six seven", "red green blue black white grey"
+    rows = [
+        (None, "An id is missing here but the words are not."), (None, same), (None, third), (None, third),
+        (3, same), (3, "quite another text under the same id as before"), (2, same),
+        (7, same), (7, other), (8, other), (9, other),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len({fingerprint(t) for _, t in rows}) == 5
+    kept = sorted(((r.doc_id, r.text) for r in one_of_each(docs).collect()), key=str)
+    assert kept == sorted([rows[0], rows[2], rows[5], rows[6], rows[8]], key=str)
+
+
+def test_null_ids_of_the_awkward_rows(awkward):
+    kept = [r.text for r in one_of_each(awkward).collect() if r.doc_id is None]
+    assert kept == ["An id is missing here but the words are not."]

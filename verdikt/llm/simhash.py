@@ -30,8 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from verdikt.llm.common import map_batches, pin, texts_of
+from verdikt.llm.common import map_batches, pin, texts_of, with_column_of
 from verdikt.llm.components import components
 from verdikt.session import ship_package
 
@@ -186,21 +187,27 @@ def bucket_links(spark, prints: DataFrame, radius: int) -> DataFrame:
     return hashed.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, bits, component_id): component_id is the smallest doc_id reachable over links."""
-    spark = docs.sparkSession
-    rows = pin(fingerprints(docs), "fingerprints")
-    distinct = rows.groupBy("bits").agg(F.min("doc_id").alias("first"))
+def with_least(rows: DataFrame, columns: list[str], radius: int = RADIUS) -> DataFrame:
+    """``rows`` (pinned, with ``bits``) plus least_<column>: the smallest non-null value in the row's component."""
+    least = [f"least_{c}" for c in columns]
+    distinct = rows.groupBy("bits").agg(*[F.min(c).alias(n) for c, n in zip(columns, least, strict=True)])
     firsts = pin(distinct, "distinct-fingerprints")
-    edges = bucket_links(spark, firsts.select("bits"), radius).distinct()
+    edges = bucket_links(rows.sparkSession, firsts.select("bits"), radius).distinct()
     groups = components(pin(edges, "fingerprint-links"))
     # groups: (node, root) of linked fingerprints alone; the others are their own group
     rooted = firsts.join(groups, firsts["bits"] == groups["node"], "left").select(
-        "bits", "first", F.coalesce("root", "bits").alias("root")
+        "bits", *least, F.coalesce("root", "bits").alias("root")
     )
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = rooted.select("bits", "root").join(ids, "root").select("bits", "component_id")
-    return rows.join(member, "bits").select("doc_id", "bits", "component_id")
+    found = rooted.groupBy("root").agg(*[F.min(n).alias(n) for n in least])
+    member = rooted.select("bits", "root").join(found, "root").select("bits", *least)
+    return rows.join(member, "bits")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, bits, component_id): component_id is the smallest doc_id reachable over links."""
+    rows = pin(fingerprints(docs), "fingerprints")
+    found = with_least(rows, ["doc_id"], radius)
+    return found.select("doc_id", "bits", F.col("least_doc_id").alias("component_id"))
 
 
 def hexadecimal(column: str):
@@ -208,11 +215,21 @@ def hexadecimal(column: str):
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents whose doc_id is the smallest of their group, with their own columns.
+    """One document of each group, that with the smallest doc_id, with its own columns.
 
-    Of repeated rows with one doc_id all stay; a null doc_id stays unless it is
-    linked to a document with an id.
+    Each row is judged by its own text.  Rows of the group with that doc_id are
+    one document and stay together; a group without any id keeps one row.
     """
-    groups = near_duplicates(docs, radius)
-    lost = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["_lost"]), "left_anti")
+
+    def prints(texts: list) -> pa.Array:
+        return pa.array(np.array([fingerprint(text or "") for text in texts], dtype=np.uint64).view(np.int64))
+
+    # Row numbers hold only for what is written, so the texts are pinned with them.
+    numbered = with_column_of(docs, "text", "_bits", LongType(), prints).withColumn("_row", F.monotonically_increasing_id())
+    numbered = pin(numbered, "numbered-documents")
+    rows = numbered.select("doc_id", F.col("_bits").alias("bits"), F.col("_row").alias("row"))
+    groups = with_least(rows, ["doc_id", "row"], radius)
+    only_one = F.col("least_doc_id").isNull() & (F.col("row") == F.col("least_row"))
+    stays = F.coalesce(F.col("doc_id") == F.col("least_doc_id"), only_one)
+    lost = groups.where(~stays).select(F.col("row").alias("_lost"))
+    return numbered.join(lost, numbered["_row"] == lost["_lost"], "left_anti").drop("_bits", "_row")
