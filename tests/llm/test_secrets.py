@@ -1,5 +1,6 @@
 import re
 from hashlib import sha256
+from time import perf_counter
 
 from verdikt.llm.queries import op10, vocabulary
 from verdikt.llm.secrets import base_spans, mask_secrets, masked, scan, with_findings, written
@@ -70,3 +71,30 @@ def test_awkward_rows(spark, awkward):
     assert clean.columns == awkward.columns
     assert sorted(map(str, clean.collect())) == sorted(map(str, awkward.collect()))
     assert with_findings(awkward.limit(0), vocabulary()[1:]).count() == 0
+
+
+def test_random_strings_inside_words():
+    key = "q7Zp0xLk93VbTy2RwQ81mNc5"
+    for before, after in (
+        ("client_key:", ""), ("x-auth:", ","), ("postgres://bob:", "@db"), ("https://hooks.example.com/services/", ""),
+        ("https://a.example.com/x?sig=", "&y=1"), ("my_very_long_configuration_name=", ""), ("user@", "."), ("/srv/keys/", "/a.pem"),
+    ):
+        start = len("see " + before)
+        assert scan(f"see {before}{key}{after} now", encode())[1] == [(start, start + len(key), "random")], before
+    jwt = (
+        "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIiwiaWF0IjoxNTE2MjM5MDIyfQ."
+        "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"
+    )
+    assert masked(jwt, scan(jwt, encode())[1]) == "<random>.<random>.<random>"
+    assert scan(f"see {key[:14]} now", encode())[1] == [(4, 18, "random")]
+    for clean in (
+        "john.smith1984@mail.example.com", "https://a.example.com/wiki/History_of_the_2nd_Battalion_1914", "photo_of_a_cat-1024x768.jpg",
+        "/usr/lib/x86_64-linux-gnu/libstdc++.so.6.0.28", "com.example.project2.module7.ClassName42", "getUserById2FromCache",
+    ):
+        assert not scan(f"see {clean} now", encode())[1], clean
+
+
+def test_identifiers_take_no_exponential_time():
+    start = perf_counter()
+    assert not scan("12" + "-12" * 2000 + "-1a2b", encode())[0]
+    assert perf_counter() - start < 5

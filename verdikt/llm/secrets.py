@@ -5,8 +5,9 @@ key characters that a byte-pair vocabulary cannot compress.  Words of any
 language that the vocabulary knows a little take few tokens; a random string
 takes one token for about two characters.  A run is a finding when its
 characters per token are below ``most`` and it mixes digits and letters, unless
-it is a digest of a common length, a UUID, an address, a path, a dotted or
-underscored identifier, or overlaps a base finding.
+it is a digest of a common length, a UUID or an underscored identifier, or
+overlaps a base finding.  Addresses, paths and dotted words are no runs
+themselves: each of their segments is.
 
 Defined results: a null text is empty and has no spans; spans are code points,
 end exclusive, of the whole text; repeated rows return one row each.
@@ -32,13 +33,21 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=.@:-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
+#: Runs of key characters, the values between their "=" signs, and what a run stands in.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}")
+VALUE = re.compile(r"[^=]{12,}(?:=+\Z)?")
+SEGMENT = re.compile(r"[^/]{12,}")
+WORD = re.compile(r"[^\s\"'<>`|,;(){}\[\]]{12,}")
+ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://|www\.|~?/|\.{1,2}/")
 #: Not secrets though random: digests of the usual lengths and UUIDs.
 DIGEST = re.compile(r"(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})\Z")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
 #: Words, numbers and versions joined by separators: identifiers, slugs, dates and paths.
-IDENTIFIER = re.compile(r"(?:[A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,8})(?:[-_/=+](?:[A-Za-z]*[0-9]{0,4}|[0-9]{1,8}))+\Z")
+IDENTIFIER = re.compile(r"(?:[A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,8})(?:[-_/=+](?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,8}(?:st|nd|rd|th|x[0-9]{1,8})?|))+\Z")
 MOST = 2.4
+#: Below LONG characters a run must have both cases and MOST_SHORT characters a token or fewer; below 12 nothing is tested.
+LONG = 20
+MOST_SHORT = 2.0
 
 Span = tuple[int, int, str]
 
@@ -52,19 +61,44 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def is_random(run: str, encode, most: float = MOST) -> bool:
+    """Whether the vocabulary behind ``encode`` spells a mixed run with ``most`` characters a token or fewer."""
+    run = run.rstrip("=")
+    digits = sum(map(run.count, "0123456789"))
+    letters = sum(map(str.isalpha, run))
+    if not digits or not letters or DIGEST.match(run) or UUID.match(run) or IDENTIFIER.match(run):
+        return False
+    if len(run) >= LONG:
+        return len(run) < most * len(encode(run))
+    return run != run.lower() and run != run.upper() and len(run) < min(most, MOST_SHORT) * len(encode(run))
+
+
 def random_spans(text: str, base: list[Span], encode, most: float = MOST) -> list[Span]:
-    """Runs that the vocabulary behind ``encode`` spells with ``most`` characters a token or fewer."""
+    """Random values, wherever they stand in a word of the text.
+
+    A value is tested whole, then by its slashed segments; in the path of an
+    address or of a file only the segments are.
+    """
     found = []
-    for m in RUN.finditer(text):
-        run = m[0].rstrip("=")
-        digits = sum(map(run.count, "0123456789"))
-        letters = sum(map(str.isalpha, run))
-        if not digits or not letters or DIGEST.match(run) or UUID.match(run) or IDENTIFIER.match(run):
-            continue
-        if any(a < m.end() and m.start() < b for a, b, _ in base):
-            continue
-        if len(run) < most * len(encode(run)):
-            found.append((m.start(), m.end(), "random"))
+
+    def test(start: int, run: str) -> bool:
+        end = start + len(run)
+        if any(a < end and start < b for a, b, _ in base) or not is_random(run, encode, most):
+            return False
+        found.append((start, end, "random"))
+        return True
+
+    for word in WORD.finditer(text):
+        address = ADDRESS.match(word[0]) is not None
+        for run in RUN.finditer(word[0]):
+            for value in VALUE.finditer(run[0]):
+                at = run.start() + value.start()
+                path = address and word[0][at - 1 : at] not in ("=", ":")
+                if not path and test(word.start() + at, value[0]):
+                    continue
+                for part in SEGMENT.finditer(value[0]):
+                    if path or len(part[0]) < len(value[0]):
+                        test(word.start() + at + part.start(), part[0])
     return found
 
 
