@@ -52,3 +52,17 @@ def test_awkward_rows(spark):
     assert rows[4].n_chars == len("Many words stand here. ") * 20_000 - 1
     assert rows[5].text == "plain & simple text, no tags at all."
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_only_hidden_elements_are_hidden():
+    shown, gone = "The whole article stands here, as it should be read.", "Nobody sees this sentence, which is long enough."
+    for attributes in (
+        'class="overflow-hidden"', "class=overflow-hidden", 'aria-hidden="false"', 'data-state="not-hidden"', "data-hidden",
+        'title="how display: none works"', 'style="backdrop-display:none"', "style='overflow: hidden'",
+    ):
+        assert main_text(f"<body {attributes}><article {attributes}><p>{shown}</p></article></body>") == shown, attributes
+    for attributes in (
+        "hidden", 'class="a" HIDDEN', 'hidden=""', 'aria-hidden="true"', "aria-hidden=true", 'style="color: red; display : none"',
+        "style=display:none", 'style="display:none !important;"',
+    ):
+        assert main_text(f"<article><p>{shown}</p><div {attributes}><p>{gone}</p></div></article>") == shown, attributes

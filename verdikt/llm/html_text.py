@@ -32,6 +32,9 @@ TOKEN = re.compile(
     re.S,
 )
 HINT = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: Attribute names and values, in any quotes or none.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+DISPLAY_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 #: Elements by what they do to text.
 INVISIBLE = frozenset("script style noscript template head title iframe object svg canvas math select textarea".split())
 INLINE = frozenset(
@@ -51,6 +54,21 @@ NOTICES = re.compile(
 CONTENT = re.compile(r"\b(?:article\w*|content|entry|post|story|body\w*|text|main)\b", re.I)
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether a tag's attributes hide it: ``hidden``, ``aria-hidden=true`` or a style of display:none.
+
+    Of repeated attributes the first counts.
+    """
+    if not attributes.strip():
+        return False
+    found: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), unescape(value.strip("\"'")).strip())
+    return (
+        "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(DISPLAY_NONE.search(found.get("style", "")))
+    )
+
+
 @dataclass
 class Block:
     text: str
@@ -109,7 +127,7 @@ class _Page:
         hints = re.sub(r"[-_]", " ", hints)
         notice = bool(hints) and bool(NOTICES.search(hints)) and not (tag in MAIN or tag == "body")
         main = tag in MAIN or (bool(hints) and bool(CONTENT.search(hints)) and not notice)
-        hidden = tag in INVISIBLE or bool(re.search(r"\bhidden\b|display\s*:\s*none", attributes, re.I))
+        hidden = tag in INVISIBLE or is_hidden(attributes)
         inner_header = tag == "header" and top.main  # the heading of the article itself
         self.stack.append(
             _Open(
