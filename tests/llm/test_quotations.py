@@ -67,3 +67,22 @@ def test_empty_and_clashing_columns(spark, planted):
     table = spark.read.parquet(f"{planted}/conversations.parquet").selectExpr("*", "1 as path", "'x' as hash", "2 as depth")
     assert reply_ordered(table).count() == len(MESSAGES)
     assert reply_ordered(table.limit(0)).count() == 0
+
+
+def test_partial_quotes_and_originals_elsewhere(spark):
+    three = "First paragraph here.\n\nSecond paragraph, which is longer.\n\nThird one."
+    five = "line one\nline two is here\nline three\nline four\nline five"
+    rows = [
+        (1, 0, "user", three), (1, 1, "assistant", five), (1, 2, "user", "> First paragraph here.\n>\n> Second paragraph, which is longer.\nYes."),
+        (1, 3, "user", "> line two is here\n> line three\nNo."), (1, 4, "user", "> line one\n> Second  paragraph, which is longer.\nBoth."),
+        (1, 5, "user", "> words of nobody\n> and of nobody else\nWho?"), (1, 6, "user", "> said later here\nOnly elsewhere so far."),
+        (1, 7, "user", "said later here"), (2, 0, "user", "nothing"), (2, 5, "user", "said later here"), (3, 0, "user", "said later here"),
+        (4, 0, "user", "> said later here\nA fourth."), (2, 6, "user", "> said later here\nIts own."),
+    ]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.to_conv, r.to_turn) for r in links(table).collect()}
+    assert got == {
+        (1, 2): (1, 0), (1, 3): (1, 1), (1, 4): (1, 0), (1, 5): (None, None), (1, 6): (2, 5), (4, 0): (1, 7), (2, 6): (2, 5),
+    }
+    paths = {(r.conv_id, r.turn): (r.n_linked, r.reply_path) for r in reply_ordered(table).collect()}
+    assert paths[1, 2] == (1, [0, 2]) and paths[1, 3] == (1, [1, 3]) and paths[1, 6] == (1, [6])

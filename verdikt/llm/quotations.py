@@ -5,7 +5,8 @@ of one depth that follow each other are a passage.  Its normalised text (lower
 case, runs of white space as one space) is hashed and joined to the first
 message that wrote the same itself, as its whole text, a paragraph or a line:
 first in the same conversation before the quoting turn, else the first of all
-conversations.  The parent of a message is the latest turn of its conversation
+other conversations.  So are the passage's own paragraphs and lines, and the
+longest part with an original links the passage.  The parent of a message is the latest turn of its conversation
 that it quotes at depth one.  A reply follows its parent and the parent's
 earlier replies: ``reply_path`` holds the turns from the thread's first message
 down to the message, and conversations are ordered by it.
@@ -17,7 +18,8 @@ third of all messages share is one row.  No Python runs on the executors.
 Defined results: a null text has no lines and stays null; a message of quotes
 alone gets an empty text; empty passages link to nothing; repeated rows are
 returned each, with the same links; a null conv_id or turn neither quotes nor
-is quoted; of equal originals the smallest (conv_id, turn) counts.
+is quoted; of equal originals the smallest (conv_id, turn) counts, of equally
+long parts one of the same conversation, then the first in the passage.
 """
 
 from __future__ import annotations
@@ -45,8 +47,18 @@ def own_text(text: Column) -> Column:
     return F.when(text.rlike(QUOTING), F.regexp_replace(F.array_join(lines, "\n"), r"^[ \t\r\n]+|[ \t\r\n]+$", "")).otherwise(text)
 
 
+def units(text: Column) -> Column:
+    """(size, hash) of the normalised whole text, its paragraphs and its lines, without the empty ones."""
+    cut = F.concat(F.array(text), F.split(text, r"\n[ \t\r]*\n"), F.split(text, "\n"))
+    kept = F.array_distinct(F.filter(F.transform(cut, normal), lambda u: u != ""))
+    return F.transform(kept, lambda u: F.struct(F.length(u).alias("size"), F.md5(u.cast("binary")).alias("hash")))
+
+
 def passages(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, said, depth, at, hash): every quoted passage; ``said`` identifies the message's text."""
+    """(conv_id, turn, said, depth, at, hash, parts): every quoted passage and its units, the whole first.
+
+    ``said`` identifies the message's text.
+    """
     quoting = messages.where(
         F.col("text").rlike(QUOTING) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     ).select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("said"), "text").distinct()
@@ -60,20 +72,17 @@ def passages(messages: DataFrame) -> DataFrame:
         .withColumn("run", run)
         .groupBy(*key, "depth", "run")
         .agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "body"))).alias("lines"))
-        .select(*key, "depth", "at", normal(F.array_join(F.transform("lines", lambda x: x["body"]), "\n")).alias("quoted"))
-        .where("quoted <> ''")
-        .select(*key, "depth", "at", F.md5(F.col("quoted").cast("binary")).alias("hash"))
+        .select(*key, "depth", "at", F.array_join(F.transform("lines", lambda x: x["body"]), "\n").alias("quoted"))
+        .where(normal(F.col("quoted")) != "")
+        .select(*key, "depth", "at", F.md5(normal(F.col("quoted")).cast("binary")).alias("hash"), units(F.col("quoted")).alias("parts"))
     )
 
 
 def originals(messages: DataFrame) -> DataFrame:
     """(hash, conv_id, turn): the first turn of each conversation that wrote each unit itself."""
-    own = own_text(F.col("text"))
-    units = F.concat(F.array(own), F.split(own, r"\n[ \t\r]*\n"), F.split(own, "\n"))
-    hashes = F.transform(F.filter(F.transform(units, normal), lambda u: u != ""), lambda u: F.md5(u.cast("binary")))
     return (
         messages.where("conv_id is not null and turn is not null")
-        .select("conv_id", "turn", F.explode(F.array_distinct(hashes)).alias("hash"))
+        .select("conv_id", "turn", F.explode(units(own_text(F.col("text")))["hash"]).alias("hash"))
         .groupBy("hash", "conv_id")
         .agg(F.min("turn").alias("turn"))
     )
@@ -82,18 +91,30 @@ def originals(messages: DataFrame) -> DataFrame:
 def links(messages: DataFrame) -> DataFrame:
     """Passages plus (to_conv, to_turn) of the original, null where there is none."""
     quoted = pin(passages(messages), "quoted-passages")
-    wanted = originals(messages).join(quoted.select("hash").distinct(), "hash", "left_semi")
+    key = ["conv_id", "turn", "said", "depth", "at"]
+    parts = quoted.select(*key, F.posexplode("parts").alias("place", "part")).select(*key, "place", "part.size", "part.hash")
+    wanted = originals(messages).join(parts.select("hash").distinct(), "hash", "left_semi")
     first = pin(wanted, "quoted-originals")
     near = first.select("hash", "conv_id", F.col("turn").alias("near_turn"))
-    far = first.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
-    joined = quoted.join(near, ["hash", "conv_id"], "left").join(far, "hash", "left")
-    is_near = F.col("near_turn") < F.col("turn")
-    is_far = (F.col("far.conv_id") != F.col("conv_id")) | (F.col("far.turn") < F.col("turn"))
-    return joined.select(
-        "conv_id", "turn", "said", "depth", "at", "hash",
-        F.when(is_near, F.col("conv_id")).when(is_far, F.col("far.conv_id")).alias("to_conv"),
-        F.when(is_near, F.col("near_turn")).when(is_far, F.col("far.turn")).alias("to_turn"),
-    )
+    # the first of two conversations at least is not the quoting one
+    order = Window.partitionBy("hash").orderBy("conv_id")
+    ranked = first.withColumn("nth", F.row_number().over(order)).where("nth <= 2")
+    far = ranked.groupBy("hash").agg(
+        *[F.min(F.when(F.col("nth") == n, F.struct("conv_id", "turn"))).alias(name) for n, name in ((1, "far"), (2, "farther"))]
+    )
+    joined = parts.join(near, ["hash", "conv_id"], "left").join(far, "hash", "left")
+    is_near = F.coalesce(F.col("near_turn") < F.col("turn"), F.lit(False))
+    other = F.when(F.col("far.conv_id") != F.col("conv_id"), F.col("far")).otherwise(F.col("farther"))
+    target = F.when(is_near, F.struct("conv_id", F.col("near_turn").alias("turn"))).otherwise(other)
+    best = (
+        joined.select(*key, F.struct(-F.col("size"), ~is_near, "place").alias("rank"), target.alias("target"))
+        .where("target is not null")
+        .groupBy(*key)
+        .agg(F.min_by("target", "rank").alias("target"))
+    )
+    return quoted.join(best, key, "left").select(
+        *key, "hash", F.col("target.conv_id").alias("to_conv"), F.col("target.turn").alias("to_turn")
+    )
 
 
 def reply_paths(parents: DataFrame) -> DataFrame:
