@@ -159,12 +159,26 @@ r AS (SELECT doc_id, unnest(l[3:]) AS b, generate_subscripts(l[3:], 1) - 1 AS re
 SELECT doc_id, chosen_index::INT AS chosen_index, rejected_index::INT AS rejected_index, md5(a) AS a_digest, md5(b) AS b_digest, 'A>B' AS label
 FROM c JOIN r USING (doc_id) WHERE rejected_index < 3""")
 def item_pairs(spark, folder):
-    """chosen x rejected of one item, the lists being lines of one document."""
+    """item_pairs_all with the option of at most three rejected completions of an item."""
+    return _item_pairs(spark, folder, max_rejected=3)
+
+
+@query("item_pairs_all", f"""WITH ls AS (SELECT doc_id, {B.sql_full_lines('text')} AS l FROM documents),
+c AS (SELECT doc_id, unnest(l[1:2]) AS a, generate_subscripts(l[1:2], 1) - 1 AS chosen_index FROM ls),
+r AS (SELECT doc_id, unnest(l[3:]) AS b, generate_subscripts(l[3:], 1) - 1 AS rejected_index FROM ls)
+SELECT doc_id, chosen_index::INT AS chosen_index, rejected_index::INT AS rejected_index, md5(a) AS a_digest, md5(b) AS b_digest, 'A>B' AS label
+FROM c JOIN r USING (doc_id)""")
+def item_pairs_all(spark, folder):
+    """chosen x rejected of one item, all of them, the lists being lines of one document."""
+    return _item_pairs(spark, folder)
+
+
+def _item_pairs(spark, folder, max_rejected=None):
     l = F.col("l")
     items = docs(spark, folder).select("doc_id", T.full_lines(body()).alias("l")).select(
         "doc_id", F.slice(l, 1, 2).alias("chosen"), F.slice(l, F.lit(3), F.greatest(F.size(l), F.lit(1))).alias("rejected")
     )
-    out = P.expand_item(items, max_rejected=3)
+    out = P.expand_item(items, max_rejected=max_rejected)
     return out.select("doc_id", "chosen_index", "rejected_index", F.md5("response_a").alias("a_digest"),
                       F.md5("response_b").alias("b_digest"), "label")
 
