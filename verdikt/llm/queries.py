@@ -16,6 +16,7 @@ from verdikt.llm.packing import pack_documents
 from verdikt.llm.quality_ranker import rank_quality
 from verdikt.llm.quality_rules import METRICS, NEARLY, RULES, quality_rules
 from verdikt.llm.quotations import reply_ordered
+from verdikt.llm.repeats import without_repeats
 from verdikt.llm.secrets import with_findings
 from verdikt.llm.simhash import hexadecimal, near_duplicates
 from verdikt.llm.toxicity import toxicity
@@ -246,3 +247,21 @@ FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 @query("op11_collocations", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH split AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT rid, pos, array_to_string(w[pos:pos + 34], ' ') AS body FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS pos FROM split)),
+repeated AS (SELECT rid, pos FROM windows QUALIFY count(*) OVER (PARTITION BY body) > 1),
+spots AS (SELECT DISTINCT rid, unnest(range(pos, pos + 35)) AS spot FROM repeated),
+kept AS (
+  SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY spot) AS body
+  FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS spot FROM split) ANTI JOIN spots USING (rid, spot) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (rid)
+"""
+
+
+@query("op13_substring_dedup", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
