@@ -19,6 +19,7 @@ from verdikt.llm.quotations import reply_ordered
 from verdikt.llm.repeats import without_repeats
 from verdikt.llm.secrets import with_findings
 from verdikt.llm.simhash import hexadecimal, near_duplicates
+from verdikt.llm.spelling import spelling_variants
 from verdikt.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,6 +250,47 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+OP12_SQL = r"""
+WITH RECURSIVE bytes AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) ORDER BY b) AS crc
+  FROM (SELECT unnest(range(256)) AS b)),
+runs AS (
+  SELECT key, run, count(*) AS n FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS key,
+      unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents) GROUP BY ALL),
+spelt AS (SELECT run, n, hex(encode(key || ':' || run)) AS h FROM runs),
+checked AS (
+  SELECT run, n, xor(list_reduce(
+    list_transform(range(1, length(h), 2), lambda i: (instr('0123456789ABCDEF', h[i]) - 1) * 16 + instr('0123456789ABCDEF', h[i + 1]) - 1),
+    lambda c, b: xor(c // 256, crc[(xor(c, b) % 256) + 1]), 4294967295), 4294967295) AS h
+  FROM spelt, bytes),
+counted AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM checked GROUP BY 1),
+words AS (SELECT word, n FROM counted WHERE length(word) >= 5 AND n >= 3),
+less AS (SELECT DISTINCT word, n, spot, word[:spot - 1] || word[spot + 1:] AS body FROM (SELECT *, unnest(range(1, length(word) + 1)) AS spot FROM words)),
+near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.spot = b.spot AND a.body = b.body AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.body = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.body = b.word),
+best AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
+forms AS (
+  SELECT w.word, CASE WHEN b.n >= 2 * w.n THEN b.other END AS form, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN b.n >= 2 * w.n THEN b.n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+climb AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT c.word, f.form FROM climb c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM climb c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
+
+@query("op12_spelling_variants", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 OP13_SQL = r"""
 WITH split AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (SELECT rid, pos, array_to_string(w[pos:pos + 34], ' ') AS body FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS pos FROM split)),

@@ -94,7 +94,7 @@ def symbols(word: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np
     name, start = word, np.arange(len(word))
     end = start + 1
     low, high = start.copy(), end.copy()
-    for turn in range(rounds):
+    for turn in range(rounds if len(word) else 0):
         # Runs.  A run must differ from its neighbours: their next word shows it, or else all they rest on.
         edge = np.diff(doc, prepend=-1) != 0
         head = edge.copy()
