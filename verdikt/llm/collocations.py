@@ -20,6 +20,7 @@ phrase; other columns of the input are never read, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,10 @@ DEPTH = 3
 HOT = 256
 SLICE_WORDS = 2_000_000
 VOCABULARY = 1 << 20  # distinct words a task remembers between slices
-ROUTED = 4_000_000  # suffixes of a sorting task, on average
+ROUTED = 2_000_000  # suffixes of a sorting task, on average
 SALTS = 32
+#: Bits of the sieve of words that are frequent enough: 512 kB, whatever the corpus.
+SIEVE = 1 << 22
 
 _MARK = b"\xff"  # no byte of UTF-8
 _SPLIT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _MARK * 10 + b" ")
@@ -58,11 +61,19 @@ class Words(dict):
         spread = text.encode().lower().translate(_SPLIT).replace(_MARK, b" \xff ")
         return np.array([*map(self.__getitem__, spread.split()), 0], dtype=np.int32)
 
-    def strings(self) -> pa.Array:
-        return pa.array([b"", *list(self)[1:]], pa.binary()).cast(pa.string())
+    def used(self, parts: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+        """The words that occur in ``parts``, the mark first, and their new numbers in order."""
+        found = np.concatenate(parts)
+        occurs = np.zeros(len(self), dtype=bool)
+        occurs[found] = occurs[0] = True
+        return list(compress(self, occurs.tolist())), (np.cumsum(occurs, dtype=np.int32) - 1)[found]
 
 
-def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words, np.ndarray]]:
+def strings(words: list[bytes]) -> pa.Array:
+    return pa.array([b"", *words[1:]], pa.binary()).cast(pa.string())
+
+
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
     """(lang, words, numbers) of slices of whole texts of one lang."""
     words, held, size = Words(), {}, 0
     for batch in batches:
@@ -72,11 +83,11 @@ def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words, np
                 held.setdefault("und" if lang is None else lang, []).append(found)
                 size += len(found)
                 if size > SLICE_WORDS or len(words) > VOCABULARY:
-                    yield from ((k, words, np.concatenate(v)) for k, v in held.items())
+                    yield from ((k, *words.used(v)) for k, v in held.items())
                     held, size = {}, 0
                     if len(words) > VOCABULARY // 2:
                         words = Words()
-    yield from ((k, words, np.concatenate(v)) for k, v in held.items())
+    yield from ((k, *words.used(v)) for k, v in held.items())
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -89,7 +100,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             n[0] = 0
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(at), pa.string()), words.strings().take(pa.array(at)), pa.array(n[at])], ["lang", "word", "n"]
+                [pa.array([lang] * len(at), pa.string()), strings(words).take(pa.array(at)), pa.array(n[at])], ["lang", "word", "n"]
             )
 
     parts = docs.select("lang", "text").mapInArrow(run, "lang string, word string, n long")
@@ -109,16 +120,38 @@ def triples(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> tuple[n
     return pair[head] >> 32, pair[head] & (1 << 32) - 1, last[head], np.diff(np.append(head, len(pair)))
 
 
-def suffixes(docs: DataFrame, hot: dict[str, set[str]]) -> DataFrame:
-    """(route, lang, low, phrase, n): suffixes of two or three words with their weight.
+def sieve(counts: DataFrame, least: int) -> np.ndarray:
+    """A bit for each hash of lang and word, set if a word with it occurs ``least`` times or more."""
+    bit = F.xxhash64("lang", "word").bitwiseAND(F.lit(SIEVE - 1))
+    parts = (
+        counts.where(F.col("n") >= least)
+        .select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("spot"))
+        .groupBy("bucket").agg(F.bitmap_construct_agg("spot").alias("bits"))
+    )
+    bits = np.zeros(SIEVE + (1 << 15), dtype=bool)
+    for bucket, found in parts.collect():  # SIEVE bits in all
+        # bucket 1 has the bits 1 to 32768, bucket 0 bit 0
+        held = np.unpackbits(np.frombuffer(found, dtype=np.uint8), bitorder="little").astype(bool)
+        at = np.flatnonzero(held) + (1 + 32768 * (bucket - 1) if bucket else 0)
+        bits[at] = True
+    return np.packbits(bits[:SIEVE])
+
+
+def suffixes(docs: DataFrame, hot: dict[str, set[str]], sifted: np.ndarray) -> DataFrame:
+    """(lang, low, n, route, phrase): suffixes of two or three words with their weight.
 
-    ``low`` is the fewest words of a suffix whose partitions are counted.
+    ``low`` is the fewest words of a suffix whose partitions are counted.  A
+    suffix ends before a word that the sieve shows to be infrequent.
     """
     ship_package(docs.sparkSession)
     hot = {lang: {word.encode() for word in words} for lang, words in hot.items()}
 
-    def rows(lang: str, words: Words, found: np.ndarray) -> pa.RecordBatch:
-        padded = np.append(found, [0, 0])
+    def rows(lang: str, words: list[bytes], found: np.ndarray) -> pa.RecordBatch:
+        seed = xxh64_intdigest(lang.encode(), 42)
+        digest = np.array([xxh64_intdigest(w, seed) for w in words], dtype=np.uint64)
+        bit = (digest & np.uint64(SIEVE - 1)).astype(np.int64)
+        passes = (sifted[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
+        padded = np.append(np.where(passes[found], found, 0), [0, 0])
         a, b, c, n = triples(padded[:-2], padded[1:-1], padded[2:])
         often = np.array([w in hot.get(lang, ()) for w in words])
         heavy = often[a] & often[b]
@@ -132,16 +165,15 @@ def suffixes(docs: DataFrame, hot: dict[str, set[str]]) -> DataFrame:
         n = np.concatenate([n[~heavy], pair_n, n[alone]])
         low = np.full(len(n), 2, dtype=np.int32)
         low[len(n) - int(alone.sum()) :] = 3
-        digest = np.array([xxh64_intdigest(w, 7) for w in words], dtype=np.uint64)
-        mixed = digest[a] * np.uint64(0x9E3779B97F4A7C15) + digest[b] ^ np.uint64(xxh64_intdigest(lang.encode()))
+        mixed = digest[a] * np.uint64(0x9E3779B97F4A7C15) + digest[b]
         mixed = np.where(low == 3, mixed * np.uint64(0xC2B2AE3D27D4EB4F) + digest[c], mixed)
-        text = words.strings()
+        text = strings(words)
         last = pa.array(c, mask=c == 0)
         phrase = pc.binary_join_element_wise(text.take(pa.array(a)), text.take(pa.array(b)), text.take(last), " ", null_handling="skip")
         route = pa.array((mixed >> np.uint64(32)).astype(np.uint32).view(np.int32))
         return pa.RecordBatch.from_arrays(
-            [route, pa.array([lang]).take(pa.array(np.zeros(len(n), dtype=np.int32))), pa.array(low), phrase, pa.array(n)],
-            ["route", "lang", "low", "phrase", "n"],
+            [pa.array([lang]).take(pa.array(np.zeros(len(n), dtype=np.int32))), pa.array(low), pa.array(n.astype(np.int64)), route, phrase],
+            ["lang", "low", "n", "route", "phrase"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +181,7 @@ def suffixes(docs: DataFrame, hot: dict[str, set[str]]) -> DataFrame:
             made = rows(lang, words, found)
             yield from slices(made, 100_000)
 
-    return docs.select("lang", "text").mapInArrow(run, "route int, lang string, low int, phrase string, n long")
+    return docs.select("lang", "text").mapInArrow(run, "lang string, low int, n long, route int, phrase string")
 
 
 def equal_partitions(keys: np.ndarray, weight: np.ndarray, start: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -238,7 +270,7 @@ def frequent_phrases(docs: DataFrame, counts: DataFrame, least: int) -> DataFram
         if held:
             yield from frequent(pa.Table.from_batches(held), least)
 
-    return suffixes(docs, hot).repartition(parts, "route").mapInArrow(run, "lang string, phrase string, a long")
+    return suffixes(docs, hot, sieve(counts, least)).repartition(parts, "route").mapInArrow(run, "lang string, phrase string, a long")
 
 
 def collocations(docs: DataFrame, least: int = 10, covered_percent: int = 50, most: int | None = 2000) -> DataFrame:
