@@ -11,12 +11,14 @@ element ends, a paragraph or list item where the next one starts.
 
 Defined results: a null or empty page has the empty text; repeated pages give
 rows each; character references are decoded, white space inside a block becomes
-one space, blocks join by one space in page order, nothing is cut.
+one space, blocks join by one space in page order, nothing is cut.  A page of any
+length takes one pass; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
@@ -27,10 +29,11 @@ from pyspark.sql import DataFrame
 
 from verdikt.llm.common import map_batches, texts_of
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+#: How what is no tag begins and ends; the first two end with the page at the latest.
+OTHERS = (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">"))
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+#: Attributes up to the end of a tag; quoted values may hold its end.
+ATTRIBUTES = re.compile(r"""[^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+""")
 HINT = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 #: Attribute names and values, in any quotes or none.
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -44,14 +47,34 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDES = frozenset("nav header footer aside form menu dialog button fieldset address".split())
 MAIN = frozenset("article main".split())
-#: Words in class, id or role that name what is not the article.
+#: Elements whose content is passed over up to their end tag, whatever it looks like.
+SKIPPED = {tag: re.compile(rf"</{tag}(?![A-Za-z0-9:-])[^>]*>?", re.I) for tag in "script style noscript template textarea title svg".split()}
+#: Words in class, id or role that name what is not the article ...
 NOTICES = re.compile(
-    r"\b(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|"
-    r"subscri\w*|signup|login|share|sharing|social|related|recommend\w*|sidebar|widget|menu|nav\w*|breadcrumb\w*|pag(?:er|ination)|"
-    r"footer|header|masthead|copyright|legal|tags?|comments?|disqus|respond|replies|reply|search|toolbar|skip)\b",
-    re.I,
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|"
+    r"subscri\w*|signup|login|share|sharing|social|related|recommend\w*|sidebar|widget|menu|nav\w*|breadcrumbs?|pag(?:er|ination)|"
+    r"footer|header|masthead|copyright|legal|tags?|comments?|disqus|respond|replies|reply|search|toolbar|skip"
+)
+#: ... that may stand beside them in a name ...
+BESIDE = frozenset(
+    "area bar block blocks bottom box button buttons card container form global group holder inner item items left link links list "
+    "main outer panel primary right row secondary section site slot strip top unit wrap wrapper zone".split()
 )
-CONTENT = re.compile(r"\b(?:article\w*|content|entry|post|story|body\w*|text|main)\b", re.I)
+#: ... and words that name the article.
+CONTENT = re.compile(r"article\w*|content|entry|post|story|body\w*|text|main")
+
+
+def class_evidence(names: str) -> tuple[int, int]:
+    """(notices, contents): how many of the names say notice with all their words, and how many say content with one."""
+    notices = contents = 0
+    for name in names.split():
+        words = [w for w in re.split(r"[-_:]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+        named = [bool(NOTICES.fullmatch(w)) for w in words]
+        if any(named):
+            notices += all(n or w in BESIDE or w.isdigit() for n, w in zip(named, words, strict=True))
+        else:
+            contents += any(CONTENT.fullmatch(w) for w in words)
+    return notices, contents
 
 
 def is_hidden(attributes: str) -> bool:
@@ -82,19 +105,39 @@ class Block:
     item: bool
 
 
+@dataclass
+class _Mark:
+    """An element that sets its text apart, unless it turns out to hold the article itself."""
+
+    outer: _Mark | None
+    notice: bool
+    form: bool
+    holds_main: bool = False
+    holds_title: bool = False
+    #: Whether this or an outer mark makes a notice, an aside, an aside that is no form.
+    says: tuple[bool, bool, bool] = (False, False, False)
+
+    def settle(self) -> None:
+        void = self.holds_main or (self.holds_title and (self.notice or self.form))
+        mine = (self.notice and not void, not self.notice and not void, not self.notice and not self.form and not void)
+        outer = self.outer.says if self.outer else (False, False, False)
+        self.says = tuple(a or b for a, b in zip(mine, outer, strict=True))
+
+
 @dataclass
 class _Open:
     tag: str
-    aside: bool
-    notice: bool
+    mark: _Mark | None
     main: bool
     hidden: bool
 
 
 @dataclass
 class _Page:
-    blocks: list[Block] = field(default_factory=list)
-    stack: list[_Open] = field(default_factory=lambda: [_Open("", False, False, False, False)])
+    blocks: list[tuple[Block, _Mark | None]] = field(default_factory=list)
+    stack: list[_Open] = field(default_factory=lambda: [_Open("", None, False, False)])
+    marks: list[_Mark] = field(default_factory=list)
+    names: Counter = field(default_factory=Counter)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
@@ -111,85 +154,113 @@ class _Page:
         if text:
             top = self.stack[-1]
             tags = [o.tag for o in self.stack[-4:]]
-            self.blocks.append(
-                Block(
-                    text, len(text.split()), self.linked, top.tag, top.aside, top.notice, top.main,
-                    any(re.fullmatch("h[1-6]", t) for t in tags), any(t in ("li", "dt", "dd") for t in tags),
-                )
-            )
+            block = Block(
+                text, len(text.split()), self.linked, top.tag, False, False, top.main,
+                any(re.fullmatch("h[1-6]", t) for t in tags), any(t in ("li", "dt", "dd") for t in tags),
+            )
+            self.blocks.append((block, top.mark))
         self.parts, self.linked = [], 0
 
     def open(self, tag: str, attributes: str) -> None:
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-            self.close_one(tag)
+        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and self.stack[-1].tag == tag:
+            self.pop(len(self.stack) - 1)  # a paragraph or item ends before the next one in the same parent
         top = self.stack[-1]
-        hints = " ".join(HINT.findall(attributes)) if attributes.strip() else ""
-        hints = re.sub(r"[-_]", " ", hints)
-        notice = bool(hints) and bool(NOTICES.search(hints)) and not (tag in MAIN or tag == "body")
-        main = tag in MAIN or (bool(hints) and bool(CONTENT.search(hints)) and not notice)
-        hidden = tag in INVISIBLE or is_hidden(attributes)
+        hints = " ".join(h.strip("\"'") for h in HINT.findall(attributes)) if attributes.strip() else ""
+        notices, contents = class_evidence(hints) if hints else (0, 0)
+        notice = notices > contents and not (tag in MAIN or tag in ("body", "html"))
+        main = tag in MAIN or (contents > 0 and not notice)
         inner_header = tag == "header" and top.main  # the heading of the article itself
-        self.stack.append(
-            _Open(
-                tag, top.aside or (tag in ASIDES and not inner_header), top.notice or notice, top.main or main,
-                top.hidden or hidden,
-            )
-        )
-
-    def close_one(self, tag: str) -> None:
-        """A paragraph or item left open ends before the next one in the same parent."""
-        if self.stack[-1].tag == tag:
-            self.stack.pop()
+        mark = top.mark
+        if tag in MAIN:
+            while mark and not mark.holds_main:
+                mark.holds_main, mark = True, mark.outer
+            mark = None
+        elif tag == "h1":
+            while mark and not mark.holds_title:
+                mark.holds_title, mark = True, mark.outer
+            mark = top.mark
+        if notice or (tag in ASIDES and not inner_header):
+            mark = _Mark(mark, notice, tag == "form")
+            self.marks.append(mark)
+        self.stack.append(_Open(tag, mark, top.main or main, top.hidden or tag in INVISIBLE or is_hidden(attributes)))
+        self.names[tag] += 1
+
+    def pop(self, start: int) -> None:
+        for gone in self.stack[start:]:
+            self.names[gone.tag] -= 1
+        del self.stack[start:]
 
     def close(self, tag: str) -> None:
+        if not self.names[tag]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
+                return self.pop(i)
             if tag in ("p", "b", "i", "li") and self.stack[i].tag in ("div", "article", "section", "body", "ul", "table"):
                 return  # a stray end tag does not close what is outside
 
+    def judged(self) -> list[Block]:
+        """The blocks with their marks; marks that all blocks carry say nothing."""
+        for mark in self.marks:  # outer ones first
+            mark.settle()
+        said = [mark.says if mark else (False, False, False) for _, mark in self.blocks]
+        everywhere = all(notice or aside for notice, aside, _ in said)
+        for (block, _), (notice, aside, no_form) in zip(self.blocks, said, strict=True):
+            block.notice, block.aside = (False, no_form) if everywhere else (notice, aside)
+        return [block for block, _ in self.blocks]
+
+
+def tag_end(html: str, start: int) -> int:
+    """Where the attributes from ``start`` end: at a > outside quotes, else at the next one; -1 without any."""
+    end = ATTRIBUTES.match(html, start).end()
+    return end if html.startswith(">", end) else html.find(">", start)
+
 
 def blocks_of(html: str) -> list[Block]:
-    """The flat text blocks of a page, in page order."""
+    """The flat text blocks of a page, in page order; one pass from left to right."""
     page = _Page()
-    at, skip = 0, ""
-    for token in TOKEN.finditer(html):
-        start, end = token.span()
-        if skip:
-            if token[1] != "/" or (token[2] or "").lower() != skip:
-                continue
-            at, skip = end, ""
-            continue
-        if start < at:
+    at = spot = 0  # text from ``at`` is not yet added; the next tag is sought from ``spot``
+    while (spot := html.find("<", spot)) >= 0:
+        if other := next((o for o in OTHERS if html.startswith(o[0], spot)), None):
+            end = html.find(other[1], spot + len(other[0]))
+            if end < 0 and other[1] == ">":
+                break
+            page.add(html[at:spot])
+            end = end if end >= 0 else len(html)
+            if other[1] == "]]>":
+                page.add(html[spot + len(other[0]) : end].replace("&", "&amp;"))
+            at = spot = min(end + len(other[1]), len(html))
             continue
-        page.add(html[at:start])
-        at = end
-        if token[2] is None:
-            if token[0].startswith("<![CDATA["):
-                page.add(token[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+        found = TAG.match(html, spot)
+        if not found:
+            spot += 1
             continue
-        tag, closing = token[2].lower(), token[1] == "/"
-        if tag in ("script", "style", "noscript", "template", "textarea", "title", "svg") and not closing:
-            skip = tag if not (token[3] or "").endswith("/") else ""
-            continue
-        if tag == "br":
+        end = tag_end(html, found.end())
+        if end < 0:
+            break
+        page.add(html[at:spot])
+        tag, closing, attributes = found[2].lower(), found[1] == "/", html[found.end() : end]
+        at = spot = end + 1
+        if tag in SKIPPED and not closing:
+            if not attributes.endswith("/"):
+                close = SKIPPED[tag].search(html, at)
+                at = spot = close.end() if close else len(html)
+        elif tag == "br":
             page.parts.append(" ")
-            continue
-        if tag in INLINE:
+        elif tag in INLINE:
             if tag == "a":
                 page.links = 0 if closing else 1
-            continue
-        page.flush()
-        page.links = 0
-        if closing:
-            page.close(tag)
-        elif tag not in VOID and not (token[3] or "").endswith("/"):
-            page.open(tag, token[3] or "")
-    if not skip:
-        page.add(html[at:])
+        else:
+            page.flush()
+            page.links = 0
+            if closing:
+                page.close(tag)
+            elif tag not in VOID and not attributes.endswith("/"):
+                page.open(tag, attributes)
+    comment = html.find("<!--", max(at, spot)) if spot >= 0 else -1
+    page.add(html[at:] if comment < 0 else html[at:comment])
     page.flush()
-    return page.blocks
+    return page.judged()
 
 
 #: Of a block and its neighbours, in this order.
