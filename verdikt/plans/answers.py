@@ -214,7 +214,7 @@ def _sql_options(name: str, text: str, pattern: str) -> str:
 
 
 _SIGNAL_SQL = f"""WITH replies AS ({_ROWS_SQL}),
-plain AS (SELECT conv_id, turn, {_CHOICE_TEXT} AS q FROM replies),{_sql_options('bracketed', 'q', r'\(([A-Ja-j])\)')},{_sql_options('listed', "replace(q, ' ', '  ')", r'(?:^| )([A-Ja-j])[).:] +')},
+plain AS (SELECT conv_id, turn, {_CHOICE_TEXT} AS q FROM replies),{_sql_options('bracketed', 'q', r'\(([A-Ja-j])\)')},{_sql_options('listed', "replace(q, ' ', '  ')", r'(?:^| )([A-Ja-j])[).:] ')},
 choices AS (
   SELECT conv_id, turn, list({{'letter': letter, 'value': value}} ORDER BY letter) AS choices FROM (
     SELECT conv_id, turn, letter, value FROM bracketed
