@@ -48,15 +48,19 @@ def test_links_and_reply_order(spark, planted):
     assert by[3, 0].n_linked == 0 and by[3, 2].text is None and by[4, 0].text == "a > b is no quote"
 
 
-def test_query_matches_sql_on_planted_quotes(spark, planted):
-    df = op4(spark, planted)
+def same_as_sql(spark, folder):
+    df = op4(spark, folder)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{planted}/conversations.parquet/*.parquet'")
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet/*.parquet'")
     cur = con.execute(OP4_SQL)
     want = canonical([d[0] for d in cur.description], cur.fetchall())
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == want
 
 
+def test_query_matches_sql_on_planted_quotes(spark, planted):
+    same_as_sql(spark, planted)
+
+
 def test_no_python_in_the_plan(spark, planted):
     df = reply_ordered(spark.read.parquet(f"{planted}/conversations.parquet"))
     plan = df._jdf.queryExecution().toString()
@@ -69,7 +73,7 @@ def test_empty_and_clashing_columns(spark, planted):
     assert reply_ordered(table.limit(0)).count() == 0
 
 
-def test_partial_quotes_and_originals_elsewhere(spark):
+def test_partial_quotes_and_originals_elsewhere(spark, tmp_path):
     three = "First paragraph here.\n\nSecond paragraph, which is longer.\n\nThird one."
     five = "line one\nline two is here\nline three\nline four\nline five"
     rows = [
@@ -78,11 +82,15 @@ def test_partial_quotes_and_originals_elsewhere(spark):
         (1, 5, "user", "> words of nobody\n> and of nobody else\nWho?"), (1, 6, "user", "> said later here\nOnly elsewhere so far."),
         (1, 7, "user", "said later here"), (2, 0, "user", "nothing"), (2, 5, "user", "said later here"), (3, 0, "user", "said later here"),
         (4, 0, "user", "> said later here\nA fourth."), (2, 6, "user", "> said later here\nIts own."),
+        (5, 0, "user", "Thanks."), (6, 0, "user", "> A long line of many words that nobody here ever wrote.\n> Thanks.\nWhat?"),
+        (5, 1, "user", "> Thanks.\nWelcome."),
     ]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.write.parquet(str(tmp_path / "conversations.parquet"))
+    same_as_sql(spark, str(tmp_path))
     got = {(r.conv_id, r.turn): (r.to_conv, r.to_turn) for r in links(table).collect()}
     assert got == {
-        (1, 2): (1, 0), (1, 3): (1, 1), (1, 4): (1, 0), (1, 5): (None, None), (1, 6): (2, 5), (4, 0): (1, 7), (2, 6): (2, 5),
+        (1, 2): (1, 0), (1, 3): (1, 1), (1, 4): (1, 0), (1, 5): (None, None), (1, 6): (2, 5), (4, 0): (1, 7), (2, 6): (2, 5), (6, 0): (None, None), (5, 1): (5, 0),
     }
     paths = {(r.conv_id, r.turn): (r.n_linked, r.reply_path) for r in reply_ordered(table).collect()}
     assert paths[1, 2] == (1, [0, 2]) and paths[1, 3] == (1, [1, 3]) and paths[1, 6] == (1, [6])

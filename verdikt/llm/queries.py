@@ -15,7 +15,7 @@ from verdikt.llm.language_id import HELD_OUT, identify
 from verdikt.llm.packing import pack_documents
 from verdikt.llm.quality_ranker import rank_quality
 from verdikt.llm.quality_rules import METRICS, NEARLY, RULES, quality_rules
-from verdikt.llm.quotations import reply_ordered
+from verdikt.llm.quotations import LEAST_SHARE, reply_ordered
 from verdikt.llm.repeats import without_repeats
 from verdikt.llm.secrets import with_findings
 from verdikt.llm.simhash import hexadecimal, near_duplicates
@@ -178,21 +178,30 @@ lines AS (
       WHERE regexp_matches(text, '(^|\n)[ \t]*>') AND conv_id IS NOT NULL AND turn IS NOT NULL))),
 runs AS (SELECT *, spot - row_number() OVER (PARTITION BY conv_id, turn, said, depth ORDER BY spot) AS run FROM lines WHERE depth > 0),
 passages AS (
-  SELECT * FROM (SELECT conv_id, turn, said, depth, run,
-    {_NORMAL.format(r"string_agg(regexp_replace(line, '^((?:[ \t]*>)+)', ''), chr(10) ORDER BY spot)")} AS body
-  FROM runs GROUP BY conv_id, turn, said, depth, run) WHERE body <> ''),
+  SELECT *, {_NORMAL.format("quoted")} AS whole FROM (
+    SELECT conv_id, turn, said, depth, run, string_agg(regexp_replace(line, '^((?:[ \t]*>)+)', ''), chr(10) ORDER BY spot) AS quoted
+    FROM runs GROUP BY conv_id, turn, said, depth, run) WHERE {_NORMAL.format("quoted")} <> ''),
+parts AS (
+  SELECT conv_id, turn, said, depth, run, whole, body, min(place) AS place FROM (
+    SELECT *, {_NORMAL.format("unit")} AS body FROM (
+      SELECT *, unnest(us) AS unit, unnest(range(len(us))) AS place FROM (
+        SELECT *, list_concat([quoted], string_split_regex(quoted, '\n[ \t\r]*\n'), string_split(quoted, chr(10))) AS us FROM passages)))
+  WHERE body <> '' AND 100 * length(body) >= {LEAST_SHARE} * length(whole) GROUP BY ALL),
 units AS (
   SELECT DISTINCT conv_id, turn, {_NORMAL.format("unit")} AS body FROM (
     SELECT conv_id, turn, own AS unit FROM source
     UNION ALL SELECT conv_id, turn, unnest(string_split_regex(own, '\n[ \t\r]*\n')) FROM source
     UNION ALL SELECT conv_id, turn, unnest(string_split(own, chr(10))) FROM source)
   WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-near AS (SELECT body, conv_id, min(turn) AS turn FROM units WHERE body IN (SELECT body FROM passages) GROUP BY 1, 2),
-far AS (SELECT DISTINCT ON (body) body, conv_id, turn FROM near ORDER BY body, conv_id, turn),
+near AS (SELECT body, conv_id, min(turn) AS turn FROM units WHERE body IN (SELECT body FROM parts) GROUP BY 1, 2),
+tried AS (
+  SELECT p.*, n.conv_id AS to_conv, n.turn AS to_turn, 0 AS far FROM parts p JOIN near n ON n.body = p.body AND n.conv_id = p.conv_id AND n.turn < p.turn
+  UNION ALL SELECT p.*, f.conv_id, f.turn, 1 FROM parts p JOIN near f ON f.body = p.body AND f.conv_id <> p.conv_id),
+best AS (
+  SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY conv_id, turn, said, depth, run ORDER BY length(body) DESC, far, place, to_conv) = 1),
 linked AS (
-  SELECT p.*, CASE WHEN n.turn < p.turn THEN p.conv_id WHEN f.conv_id <> p.conv_id OR f.turn < p.turn THEN f.conv_id END AS to_conv,
-    CASE WHEN n.turn < p.turn THEN n.turn WHEN f.conv_id <> p.conv_id OR f.turn < p.turn THEN f.turn END AS to_turn
-  FROM passages p LEFT JOIN near n ON n.body = p.body AND n.conv_id = p.conv_id LEFT JOIN far f ON f.body = p.body),
+  SELECT p.conv_id, p.turn, p.said, p.depth, b.to_conv, b.to_turn FROM passages p LEFT JOIN best b
+    ON b.conv_id = p.conv_id AND b.turn = p.turn AND b.said = p.said AND b.depth = p.depth AND b.run = p.run),
 counts AS (
   SELECT conv_id, turn, said, count(*) AS n_quotes, count(to_turn) AS n_linked, max(depth) AS max_depth,
     max(to_turn) FILTER (WHERE depth = 1 AND to_conv = conv_id) AS parent_turn

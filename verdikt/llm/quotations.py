@@ -5,8 +5,9 @@ of one depth that follow each other are a passage.  Its normalised text (lower
 case, runs of white space as one space) is hashed and joined to the first
 message that wrote the same itself, as its whole text, a paragraph or a line:
 first in the same conversation before the quoting turn, else the first of all
-other conversations.  So are the passage's own paragraphs and lines, and the
-longest part with an original links the passage.  The parent of a message is the latest turn of its conversation
+other conversations.  So are the passage's own paragraphs and lines that make up
+``LEAST_SHARE`` percent of it or more, and the longest part with an original
+links the passage.  The parent of a message is the latest turn of its conversation
 that it quotes at depth one.  A reply follows its parent and the parent's
 earlier replies: ``reply_path`` holds the turns from the thread's first message
 down to the message, and conversations are ordered by it.
@@ -19,7 +20,9 @@ Defined results: a null text has no lines and stays null; a message of quotes
 alone gets an empty text; empty passages link to nothing; repeated rows are
 returned each, with the same links; a null conv_id or turn neither quotes nor
 is quoted; of equal originals the smallest (conv_id, turn) counts, of equally
-long parts one of the same conversation, then the first in the passage.
+long parts one of the same conversation, then the first in the passage.  An
+empty table gives no rows, other columns are never read, and the messages of a
+conversation of any length are spread over tasks.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from verdikt.llm.common import pin
 
 MARKS = r"^((?:[ \t]*>)+)"
 QUOTING = r"(?:^|\n)[ \t]*>"
+LEAST_SHARE = 50
 
 
 def depth(line: Column) -> Column:
@@ -74,7 +78,8 @@ def passages(messages: DataFrame) -> DataFrame:
         .agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "body"))).alias("lines"))
         .select(*key, "depth", "at", F.array_join(F.transform("lines", lambda x: x["body"]), "\n").alias("quoted"))
         .where(normal(F.col("quoted")) != "")
-        .select(*key, "depth", "at", F.md5(normal(F.col("quoted")).cast("binary")).alias("hash"), units(F.col("quoted")).alias("parts"))
+        .select(*key, "depth", "at", F.md5(normal(F.col("quoted")).cast("binary")).alias("hash"),
+                F.length(normal(F.col("quoted"))).alias("whole"), units(F.col("quoted")).alias("parts"))
     )
 
 
@@ -92,7 +97,8 @@ def links(messages: DataFrame) -> DataFrame:
     """Passages plus (to_conv, to_turn) of the original, null where there is none."""
     quoted = pin(passages(messages), "quoted-passages")
     key = ["conv_id", "turn", "said", "depth", "at"]
-    parts = quoted.select(*key, F.posexplode("parts").alias("place", "part")).select(*key, "place", "part.size", "part.hash")
+    large = F.filter("parts", lambda p: 100 * p["size"] >= LEAST_SHARE * F.col("whole"))
+    parts = quoted.select(*key, F.posexplode(large).alias("place", "part")).select(*key, "place", "part.size", "part.hash")
     wanted = originals(messages).join(parts.select("hash").distinct(), "hash", "left_semi")
     first = pin(wanted, "quoted-originals")
     near = first.select("hash", "conv_id", F.col("turn").alias("near_turn"))
