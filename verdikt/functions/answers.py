@@ -35,6 +35,7 @@ OUTER = ".,;:!?\"'`()[]{}\\$"
 HEADINGS = ("answer", "final answer", "conclusion", "bold conclusion", "answers")
 LATEX_SPACES = ("\\textbf{", "\\mathbf{", "\\boxed{", "\\qquad", "\\quad", "~", "{", "}")
 LAST_CHARS = 500
+BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"  # line breaks beside the line feed
 
 _JAVA = "(?U)"
 _LINES = "(?imdU)^"
@@ -52,15 +53,20 @@ def last(values: Column) -> Column:
     return F.try_element_at(values, F.lit(-1))
 
 
-def tokens(c: Column) -> Column:
-    """Maximal runs of letters, digits and underscores."""
-    return F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-
-
 def repeated(c: Column, least: int, most: int | None = None, letters: str = "A-Ja-j") -> Column:
-    """Tokens that are one letter, ``least`` to ``most`` times."""
+    """Words that are one letter, ``least`` to ``most`` times."""
     upper = "" if most is None else str(most - 1)
-    return F.filter(tokens(c), lambda w: w.rlike(rf"^([{letters}])\1{{{least - 1},{upper}}}$"))
+    return found(c, rf"(?<![\p{{L}}\p{{N}}_])(([{letters}])\2{{{least - 1},{upper}}})(?![\p{{L}}\p{{N}}_])")
+
+
+def closing_line(text: Column) -> Column:
+    """The last line that is not blank, stripped; '' without one."""
+    return T.strip(F.substring_index(T.strip(F.translate(text, BREAKS, "\n" * len(BREAKS))), "\n", -1))
+
+
+def marked(text: Column, pattern: str, *cues: str) -> Column:
+    """First match of a mark, sought only where one of its literal cues stands."""
+    return F.when(T.has_any(F.lower(text), cues), first(found(text, "(?i)" + _JAVA + pattern)))
 
 
 def outer_stripped(c: Column) -> Column:
@@ -79,7 +85,7 @@ def extraction(value: Column, source: str, explicit: bool) -> Column:
 
 def answer_segments(text: Column) -> dict[str, Column]:
     """The last span or line of each mark; null without one."""
-    line = F.nullif(X.last_line(text), F.lit(""))
+    line = F.nullif(closing_line(text), F.lit(""))
     return {
         "triple_asterisk_span": last(found(text, TRIPLE)),
         "bold_span": last(found(text, BOLD)),
@@ -194,12 +200,12 @@ def canonical_answer(raw: Column) -> Column:
 
 def final_value(text: Column) -> Column:
     """What a worked solution gives as its result, as written but for outer marks."""
-    line = X.last_line(text)
+    line = closing_line(text)
     value = F.coalesce(
-        outer_stripped(first(found(text, "(?i)" + _JAVA + FINAL_MARK))),
+        outer_stripped(marked(text, FINAL_MARK, "answer")),
         outer_stripped(last(found(text, BOXED))),
         last(repeated(text, 5, letters="A-Za-z")),
-        outer_stripped(first(found(text, "(?i)" + _JAVA + PHRASE_MARK))),
+        outer_stripped(marked(text, PHRASE_MARK, "answer", "final:")),
         last(found(F.right(text, F.lit(LAST_CHARS)), f"({NUMBER})")),
         outer_stripped(line),
     )
@@ -219,7 +225,7 @@ def reasoned_answer(text: Column) -> Column:
         F.transform(found(text, r"\*\*([^*]+?)\*\*"), T.strip),
         lambda b: (b != "") & ~F.lower(b).rlike("^(?:" + "|".join(HEADINGS) + ")"),
     )
-    picked = F.coalesce(first(found(text, "(?i)" + _JAVA + FINAL_MARK)), last(bold), X.last_line(text))
+    picked = F.coalesce(marked(text, FINAL_MARK, "answer"), last(bold), closing_line(text))
     return F.coalesce(plain_answer(picked), F.lit(""))
 
 
@@ -252,7 +258,7 @@ def question_choices(question: Column) -> Column:
 
 def explicit_segments(text: Column) -> Column:
     """All answer lines, spans and the last line, squeezed; of those equal but for case the first."""
-    line = X.last_line(text)
+    line = closing_line(text)
     parts = F.concat(found(text, _LINES + ANSWER_LINE), found(text, TRIPLE), found(text, BOLD), F.array(line))
     clean = F.filter(F.transform(parts, T.squeeze), lambda s: s != "")
 
