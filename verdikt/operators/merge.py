@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from verdikt.session import ship_package
+from verdikt.session import durable
 from verdikt.functions import text as T
 from verdikt.operators.running import top_k
 
@@ -112,40 +112,42 @@ def summarize_library(library: DataFrame) -> DataFrame:
 
 
 def budgeted(criteria: DataFrame, per_dimension: int = 6, per_family: int = 14, total: int = 60) -> DataFrame:
-    """Greedy budget in (hard gate, evidence, dimension, id) order.
+    """Greedy budget in (hard gate, evidence, dimension, id) order, in rounds.
 
     Counts only grow, so within one (dimension, family set) the accepted rows
-    are a prefix of at most ``per_dimension`` rows: a distributed top-k keeps
-    exactly those, and only that remainder is folded in order.
+    are a prefix of at most ``per_dimension`` rows, and a distributed top-k drops
+    the rest.  A round knows two counts before each open row: the accepted ones,
+    which reject it where they fill a cap, and those with the open ones, which
+    accept it where even they don't.  The first open row is always decided.
     """
-    ship_package(criteria.sparkSession)
     order = [
         (F.col("severity_tier") != "hard_gate").asc(), F.col("direction_evidence").desc(),
         F.col("dimension").asc(), F.col("criterion_id").asc(),
     ]
     fams = F.array_join(F.array_sort("applicable_families"), ",")
     short = top_k(criteria.withColumn("_fams", fams), ["dimension", "_fams"], order, per_dimension, "_k")
-    cols = ["criterion_id", "dimension", "applicable_families", "severity_tier", "direction_evidence"]
-
-    def fold(frames):
-        dims: dict[str, int] = {}
-        used: dict[str, int] = {}
-        taken = 0
-        for pdf in frames:
-            keep = []
-            for row in pdf.itertuples(index=False):
-                mine = list(row.applicable_families)
-                full = dims.get(row.dimension, 0) >= per_dimension or any(
-                    used.get(f, 0) >= per_family for f in mine if f != "generic"
-                )
-                ok = not full and taken < total
-                if ok:
-                    taken += 1
-                    dims[row.dimension] = dims.get(row.dimension, 0) + 1
-                    for f in mine:
-                        used[f] = used.get(f, 0) + 1
-                keep.append(f"cluster_{taken - 1:03d}" if ok else None)
-            yield pd.DataFrame({"criterion_id": pdf["criterion_id"], "cluster_id": keep}).dropna()
-
-    ordered = short.select(*cols).orderBy(*order).coalesce(1)
-    return ordered.mapInPandas(fold, "criterion_id string, cluster_id string")
+    keys = ["criterion_id", "dimension", "severity_tier", "direction_evidence"]
+    capped = F.array_remove(F.array_distinct("applicable_families"), "generic")
+    rows = durable(short.select(*keys, capped.alias("families"), F.lit("open").alias("state")))
+
+    def before(*group: str) -> list[Column]:
+        window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        hits = ((F.col("state") == "accepted"), (F.col("state") != "rejected"))
+        return [F.coalesce(F.sum(hit.cast("long")).over(window), F.lit(0)) for hit in hits]
+
+    while not rows.where("state = 'open'").isEmpty():
+        sure, most = before("family")
+        by_family = (
+            rows.withColumn("family", F.explode("families")).select("criterion_id", sure.alias("sure"), most.alias("most"))
+            .groupBy("criterion_id").agg(F.max("sure").alias("fam_sure"), F.max("most").alias("fam_most"))
+        )
+        sure, most = before("dimension")
+        counted = rows.withColumn("sure", sure).withColumn("most", most).join(by_family, "criterion_id", "left")
+        full = (F.col("sure") >= per_dimension) | F.coalesce(F.col("fam_sure") >= per_family, F.lit(False))
+        free = (F.col("most") < per_dimension) & F.coalesce(F.col("fam_most") < per_family, F.lit(True))
+        state = F.when(F.col("state") != "open", F.col("state")).when(full, "rejected").when(free, "accepted").otherwise("open")
+        rows = durable(counted.select(*keys, "families", state.alias("state")))
+
+    taken = rows.where("state = 'accepted'").orderBy(*order).limit(total)
+    number = F.row_number().over(Window.orderBy(*order)) - 1  # over at most ``total`` rows
+    return taken.select("criterion_id", F.concat(F.lit("cluster_"), F.lpad(number.cast("string"), 3, "0")).alias("cluster_id"))

@@ -196,9 +196,15 @@ def library_merge(spark, folder):
     return M.merge_libraries(old, new, "criterion_id", prefer_new=True)
 
 
-@query("library_budget")
+@query("library_budget", f"""WITH {SQL_LIBRARY},
+ordered AS (SELECT list({{'criterion_id': criterion_id, 'dimension': dimension, 'fam': fam}}
+  ORDER BY severity_tier <> 'hard_gate', direction_evidence DESC, dimension, criterion_id) AS rows FROM library),
+folded AS (SELECT list_reduce(list_transform(rows, lambda r: {{'r': r, 'acc': rows[1:0]}}), lambda a, x: {{'r': x.r, 'acc': CASE
+    WHEN len(a.acc) < 60 AND len(list_filter(a.acc, lambda y: y.dimension = x.r.dimension)) < 6 AND len(list_filter(a.acc, lambda y: y.fam = x.r.fam)) < 14
+    THEN list_append(a.acc, x.r) ELSE a.acc END}}, {{'r': rows[1], 'acc': rows[1:0]}}).acc AS acc FROM ordered)
+SELECT c.criterion_id, 'cluster_' || lpad(i::VARCHAR, 3, '0') AS cluster_id FROM (SELECT unnest(acc) AS c, unnest(range(len(acc))) AS i FROM folded)""")
 def library_budget(spark, folder):
-    """Greedy caps per dimension, family and in total (checked against brute force in tests)."""
+    """Greedy caps per dimension, family and in total."""
     return M.budgeted(library(spark, folder))
 
 
@@ -361,9 +367,20 @@ def line_proposals(spark, folder):
     )
 
 
-@query("redundancy_greedy")
+_SIMILAR = "len(x.t) > 0 AND len(list_intersect(x.t, k.t)) >= 0.5 * (len(x.t) + len(k.t) - len(list_intersect(x.t, k.t)))"
+_PLACE = f"list_position(list_transform(a.kept, lambda k: {_SIMILAR}), true)"
+
+
+@query("redundancy_greedy", f"""WITH t AS (SELECT doc_id, {B.sql_full_lines('text')} AS l FROM documents),
+rows AS (SELECT doc_id, list_transform(l, lambda v, i: {{'p': i - 1, 't': {B.sql_token_set('v')}, 's': (i - 1) % 4, 'n': (i - 1) % 3 + 1}}) AS r FROM t WHERE len(l) > 0),
+folded AS (SELECT doc_id, list_reduce(list_transform(r, lambda x: {{'p': x.p, 't': x.t, 's': x.s, 'n': x.n, 'kept': r[1:0]}}), lambda a, x:
+  {{'p': x.p, 't': x.t, 's': x.s, 'n': x.n, 'kept': CASE WHEN coalesce({_PLACE}, 0) = 0 THEN list_append(a.kept, {{'p': x.p, 't': x.t, 's': x.s, 'n': x.n}})
+    ELSE list_transform(a.kept, lambda k, i: CASE WHEN i <> {_PLACE} THEN k
+      WHEN x.s < k.s OR (x.s = k.s AND x.n > k.n) THEN {{'p': x.p, 't': x.t, 's': x.s, 'n': k.n + x.n}} ELSE {{'p': k.p, 't': k.t, 's': k.s, 'n': k.n + x.n}} END) END}},
+  {{'p': r[1].p, 't': r[1].t, 's': r[1].s, 'n': r[1].n, 'kept': r[1:0]}}).kept AS kept FROM rows)
+SELECT doc_id, k.p::INT AS position, k.n::BIGINT AS count FROM (SELECT doc_id, unnest(kept) AS k FROM folded)""")
 def redundancy_greedy(spark, folder):
-    """Greedy collapse of one document's lines (checked against brute force in tests)."""
+    """Greedy collapse of one document's lines."""
     return G.redundancy(line_proposals(spark, folder), "doc_id", 0.5)
 
 
