@@ -42,8 +42,8 @@ def test_share_of_scored_pairs(spark, folder):
     for k, most in ((1, 0.5), (5, 0.8)):
         result, share = G.guided_top_k(R.records(spark, folder), asked, k)
         rows = share.collect()
-        assert all(r.scored <= r.pool for r in rows)
-        assert sum(r.scored for r in rows) < most * sum(r.pool for r in rows), (k, rows)
+        assert all(r.compared <= r.pool for r in rows)
+        assert sum(r.compared for r in rows) < most * sum(r.pool for r in rows), (k, rows)
     counts = {r.query_id: r.n for r in result.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert all(counts[r.query_id] == min(5, r.pool) for r in rows)
 

@@ -7,12 +7,14 @@ profile lacks, which is a least Jaccard similarity t: then it holds one of the
 query's |q| - ceil(t |q|) + 1 rarest words and has between t |q| and |q| / t words.
 Only records found that way are scored, and scored in full.
 
-The k-th best score of a query is bounded from below twice: by the profiles
-alone, and by the records that share one of its rarest words.
+The k-th best score of a query is bounded from below by the records of the
+profiles most similar to its own, as many of them as hold k records.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from verdikt.functions import rubrics as X
 from verdikt.functions import text as T
 from verdikt.operators.retrieval import SIMILARITY_WEIGHTS, option_similarity
 from verdikt.operators.running import top_k
-from verdikt.session import durable
+from verdikt.session import durable, ship_package
 
 # Words without meaning for retrieval, cues of tasks, tags of phrases.
 STOPWORDS = (
@@ -45,8 +47,8 @@ PHRASE_TAGS = {
 PARTS = tuple(SIMILARITY_WEIGHTS[""])
 STRUCTURE = PARTS[1:]
 LEAST_LENGTH = 4
-SEED_WORDS = 4
 SLACK = 1e-9
+QUERY_ROWS, RECORD_ROWS = 512, 20_000  # of a cell
 
 
 def retrieval_tokens(c: Column) -> Column:
@@ -118,16 +120,77 @@ def lexical_weight(family: Column) -> Column:
     return F.when(family == "mmlu-pro", SIMILARITY_WEIGHTS["mmlu-pro"]["lexical"]).otherwise(SIMILARITY_WEIGHTS[""]["lexical"])
 
 
+def _cell(records, queries, k: int):
+    """(query_id, id, lexical, s, looked) of slice s of a profile: the k best of each query, and how many records were compared for it.
+
+    A record is compared if it holds one of the query's first ``prefix`` words,
+    the rarest, and its size fits; with ``least`` 0 all are.
+    """
+    ids, sizes = records["id"].to_numpy(), records["size"].to_numpy()
+    by_id = np.argsort(ids, kind="stable")
+    ids, sizes = ids[by_id], sizes[by_id]
+    held: dict[str, list[int]] = {}
+    for place, tokens in enumerate(records["tokens"].to_numpy()[by_id]):
+        for token in tokens:
+            held.setdefault(token, []).append(place)
+    held = {token: np.array(places) for token, places in held.items()}
+    none = np.array([], dtype=np.int64)
+    out = []
+    for q in queries.itertuples(index=False):
+        postings = [held.get(token, none) for token in q.ordered]
+        fits = (sizes >= q.least * q.q_size - SLACK) & (sizes * q.least <= q.q_size + SLACK) & (ids != q.query_id)
+        if q.least > 0:
+            near = np.zeros(len(ids), dtype=bool)
+            near[np.concatenate([none, *postings[: q.prefix]])] = True
+            fits &= near
+        at = np.flatnonzero(fits)
+        if not len(at):
+            continue
+        overlap = np.bincount(np.concatenate([none, *postings]), minlength=len(ids))[at]
+        whole = q.q_size + sizes[at]
+        lexical = np.where(whole == 0, 0.0, overlap / np.maximum(whole - overlap, 1))
+        best = np.argsort(-lexical, kind="stable")[:k]  # places are in order of ids
+        out.append(pd.DataFrame({"query_id": q.query_id, "id": ids[at[best]], "lexical": lexical[best], "s": int(records["s"].iloc[0]), "looked": len(at)}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": none, "id": none, "lexical": [], "s": none, "looked": none})
+
+
+def _scored(rows: DataFrame, queries: DataFrame, needed: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, looked, the parts, total): the best of each query in each profile it needs (query_id, pid, cpid, least).
+
+    Records and queries of a profile meet in cells of bounded size.
+    """
+    ship_package(rows.sparkSession)
+    sized = needed.groupBy("cpid").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("blocks")).join(
+        rows.groupBy(F.col("pid").alias("cpid")).agg(F.ceil(F.count(F.lit(1)) / RECORD_ROWS).cast("int").alias("slices")), "cpid"
+    )
+    spread = lambda ident, parts: F.pmod(F.xxhash64(ident), F.col(parts)).cast("int")
+    spots = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = rows.select("id", "tokens", "size", F.col("pid").alias("cpid")).join(sized, "cpid").select(
+        "cpid", "id", "tokens", "size", spread("id", "slices").alias("s"), spots("blocks").alias("b")
+    )
+    prefix = F.col("q_size") - F.greatest(F.ceil(F.col("least") * F.col("q_size") - SLACK), F.lit(1)) + 1
+    right = needed.join(queries.select("query_id", "q_size", "ordered"), "query_id").join(sized, "cpid").select(
+        "cpid", "query_id", "q_size", "ordered", "least", prefix.cast("int").alias("prefix"), spread("query_id", "blocks").alias("b"), spots("slices").alias("s")
+    )
+    found = left.groupBy("cpid", "s", "b").cogroup(right.groupBy("cpid", "s", "b")).applyInPandas(
+        lambda a, b: _cell(a, b, k), "query_id long, id long, lexical double, s int, looked long"
+    )
+    of = rows.select("id", F.col("pid").alias("cpid"))
+    full = found.join(of, "id").join(queries.select("query_id", "pid"), "query_id").join(pairs, ["pid", "cpid"])
+    total = F.round(F.col("lexical") * F.col("lexical_weight") + F.col("structure"), 12)
+    return full.select("query_id", "id", "cpid", "s", "looked", "lexical", *STRUCTURE, total.alias("total"))
+
+
 def guided_top_k(records: DataFrame, asked: Column, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The k records most similar to each asked record, and per query how many pairs were scored of how many.
+    """The k records most similar to each asked record, and per query how many records were compared of how many.
 
-    ``records``: id, source, question, reference; ``asked``: a condition on them.
-    A record meets those of its own family, or all others if it is alone in it.
-    Ties go to the smaller id.  The first table has query_id, id, rank, the eight
-    parts and total; the second query_id, pool and scored.
+    ``records``: id (long), source, question, reference; ``asked``: a condition on
+    them.  A record meets those of its own family, or all others if it is alone in
+    it.  Ties go to the smaller id.  The first table has query_id, id, rank, the
+    eight parts and total; the second query_id, pool and compared.
     """
-    marked = records.withColumn("asked", asked)
-    rows = durable(profiled(records).join(marked.select("id", "asked"), "id").withColumn("pid", F.xxhash64(F.to_json("profile"))))
+    marked = records.select("id", asked.alias("asked"))
+    rows = durable(profiled(records).join(marked, "id").withColumn("pid", F.xxhash64(F.to_json("profile"))))
     families = rows.groupBy(F.col("profile.family").alias("family")).agg(F.count(F.lit(1)).alias("members"))
     profiles = durable(rows.groupBy("pid").agg(F.first("profile").alias("profile"), F.count(F.lit(1)).alias("n")))
 
@@ -142,65 +205,42 @@ def guided_top_k(records: DataFrame, asked: Column, k: int = 5) -> tuple[DataFra
         weighted(parts, F.col("q.family")).alias("structure"),
     ))
 
-    # Words by rarity; a query's words carry their place in that order.
-    words = rows.select("id", "pid", "size", F.explode("tokens").alias("token"))
-    held = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("size").alias("_s")).where("_s > 0").drop("_s")
-    wanted = rows.where("asked").select(F.col("id").alias("query_id"), "pid", F.col("size").alias("q_size"), F.explode("tokens").alias("token"))
-    ordered = wanted.join(held, "token").groupBy("query_id", "pid", "q_size").agg(
-        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ordered")
-    )
-    queries = durable(rows.where("asked").select(F.col("id").alias("query_id"), "pid", F.col("tokens").alias("q_tokens")).join(
-        ordered.select("query_id", "q_size", "ordered"), "query_id", "left"
-    ).withColumn("q_size", F.coalesce("q_size", F.lit(0))))
-    placed = queries.select("query_id", "pid", "q_size", F.posexplode("ordered").alias("place", "w")).select(
-        "query_id", "pid", "q_size", "place", F.col("w.token").alias("token"), F.col("w.df").alias("df")
-    )
-
-    def scored(found: DataFrame) -> DataFrame:
-        """``found`` (query_id, id) with all parts and the total."""
-        full = found.join(rows.select("id", "tokens", F.col("pid").alias("cpid")), "id").join(queries.select("query_id", "pid", "q_tokens"), "query_id")
-        lexical = T.jaccard(F.col("q_tokens"), F.col("tokens"))
-        return full.join(pairs, ["pid", "cpid"]).select(
-            "query_id", "id", lexical.alias("lexical"), *STRUCTURE,
-            F.round(lexical * F.col("lexical_weight") + F.col("structure"), 12).alias("total"),
-        )
+    # The words of each query from rare to frequent.
+    wanted = rows.where("asked").select(F.col("id").alias("query_id"), F.explode("tokens").alias("token"))
+    held = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ordered = wanted.join(held, "token").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("w"))
+    empty = F.array().cast("array<string>")
+    queries = durable(rows.where("asked").select(F.col("id").alias("query_id"), "pid", F.col("size").alias("q_size")).join(ordered, "query_id", "left").select(
+        "query_id", "pid", "q_size", F.coalesce(F.transform("w", lambda x: x["token"]), empty).alias("ordered")
+    ))
 
-    best = [F.desc("total"), F.asc("id")]
-    seeds = placed.where((F.col("place") < SEED_WORDS) & (F.col("df") > 1)).select("query_id", "pid", "token")
-    near = seeds.join(words.select("id", "token", F.col("pid").alias("cpid")), "token").join(pairs.select("pid", "cpid"), ["pid", "cpid"], "left_semi")
-    first = top_k(scored(near.where("id <> query_id").select("query_id", "id").distinct()), ["query_id"], best, k)
-    by_words = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("total")).alias("bound"))
-    # A profile counts its records, the query's own not among them, from the best profile down.
+    # A profile counts its records, the query's own not among them, from the best profile down: the k-th of them is the floor.
     ranked = pairs.withColumn("others", F.col("n") - (F.col("pid") == F.col("cpid")).cast("int"))
     filled = ranked.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct((-F.col("structure")).alias("less"), "others"))).alias("steps"))
     reach = F.aggregate(
         "steps", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("at")),
         lambda x, s: F.struct((x["n"] + s["others"]).alias("n"), F.coalesce(x["at"], F.when(x["n"] + s["others"] >= k, -s["less"])).alias("at")),
     )
-    by_profiles = filled.select("pid", reach["at"].alias("floor"))
-    bounds = queries.select("query_id", "pid", "q_size").join(by_words, "query_id", "left").join(by_profiles, "pid")
-    bounds = bounds.withColumn("bound", F.greatest("bound", "floor"))
+    reached = pairs.join(filled.select("pid", reach["at"].alias("floor")), "pid").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    top = reached.where(F.col("structure") >= F.col("floor") - SLACK).select("pid", "cpid", F.lit(0.0).alias("least"))
+    best = [F.desc("total"), F.asc("id")]
+    first = top_k(_scored(rows, queries, queries.select("query_id", "pid").join(top, "pid"), pairs, k), ["query_id"], best, k)
+    bounds = durable(first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("total")).alias("bound")))
 
     # What each profile's records need; profiles that cannot reach the bound go.
-    needed = bounds.join(pairs.select("pid", "cpid", "lexical_weight", "structure"), "pid").withColumn(
-        "least", F.coalesce((F.col("bound") - SLACK - F.col("structure")) / F.col("lexical_weight"), F.lit(0.0))
-    ).where(F.col("least") <= 1)
-    needed = durable(needed.withColumn("least", F.greatest("least", F.lit(0.0))).select("query_id", "cpid", "q_size", "least"))
-    prefix = F.col("q_size") - F.greatest(F.ceil(F.col("least") * F.col("q_size") - SLACK), F.lit(1)) + 1
-    probes = placed.select("query_id", "token", "place").join(needed, "query_id").where(F.col("place") < prefix)
-    shared = probes.join(words.select("id", "token", "size", F.col("pid").alias("cpid")), ["cpid", "token"]).where(
-        (F.col("size") >= F.col("least") * F.col("q_size") - SLACK) & (F.col("size") * F.col("least") <= F.col("q_size") + SLACK)
-    ).select("query_id", "id")
-    # Where no word is needed, the first ids of the profile stand for those without a shared word.
-    plain = top_k(rows.select("id", F.col("pid").alias("cpid")), ["cpid"], [F.asc("id")], k + 1, "_n").drop("_n")
-    bare = needed.where(F.col("least") <= 0).join(plain, "cpid").select("query_id", "id")
-    candidates = durable(shared.unionByName(bare).where("id <> query_id").distinct())
-    result = top_k(scored(candidates), ["query_id"], best, k)
+    least = F.coalesce((F.col("bound") - SLACK - F.col("structure")) / F.col("lexical_weight"), F.lit(0.0))
+    needed = durable(
+        queries.select("query_id", "pid").join(bounds, "query_id", "left").join(pairs.select("pid", "cpid", "lexical_weight", "structure"), "pid")
+        .select("query_id", "cpid", F.greatest(least, F.lit(0.0)).alias("least")).where(F.col("least") <= 1)
+    )
+    found = durable(_scored(rows, queries, needed, pairs, k))
+    result = top_k(found, ["query_id"], best, k)
 
     sizes = pairs.groupBy("pid").agg(F.sum("n").alias("pool"))
-    looked = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("scored"))
+    cells = found.groupBy("query_id", "cpid", "s").agg(F.max("looked").alias("looked"))
+    looked = cells.groupBy("query_id").agg(F.sum("looked").alias("compared"))
     share = queries.select("query_id", "pid").join(sizes, "pid").join(looked, "query_id", "left").select(
-        "query_id", (F.col("pool") - 1).alias("pool"), F.coalesce("scored", F.lit(0)).alias("scored")
+        "query_id", (F.col("pool") - 1).alias("pool"), F.coalesce("compared", F.lit(0)).alias("compared")
     )
     rounded = [F.round(c, 6).alias(c) for c in (*PARTS, "total")]
     return result.select("query_id", "id", F.col("rank").cast("long").alias("rank"), *rounded), share
