@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from verdikt.plans import answers, curating, evaluation, keeping, merging, pairs, ranking, retrieving, texts  # noqa: F401
+from verdikt.plans import answers, curating, evaluation, keeping, lines, merging, pairs, ranking, retrieving, texts  # noqa: F401
 from verdikt.plans.registry import QUERIES, SQL  # noqa: F401
