@@ -18,7 +18,8 @@ larger benchmark takes more passes over the documents, not more memory.
 
 Defined results: null and empty texts and items leak nothing; repeated items
 with one item_id are each looked for; repeated documents give rows each; an
-empty benchmark or document table gives an empty result.
+empty benchmark or document table gives an empty result; a text of any length is
+read whole.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ bits; what reaches the driver has buckets x bits numbers, whatever the input.
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 rows of a null lang teach nothing; with one learned language every other text is
 that language; with none all are ``und``; repeated rows are judged each; equal
-losses go to the language first in order of its name.
+losses go to the language first in order of its name; an empty table gives no
+rows; a text of any length is read whole.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ overlaps a base finding.  Addresses, paths and dotted words are no runs
 themselves: each of their segments is.
 
 Defined results: a null text is empty and has no spans; spans are code points,
-end exclusive, of the whole text; repeated rows return one row each.
+end exclusive, of the whole text; repeated rows return one row each; an empty
+table gives no rows; a text of any length is read whole.
 """
 
 from __future__ import annotations

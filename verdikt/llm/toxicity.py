@@ -15,7 +15,8 @@ chance are added to the base, round by round.
 
 Defined results: null and empty texts have no windows and score what no windows
 score; repeated rows score each; without labels of both kinds every score is the
-share of toxic labels; ties do not matter, as all orders are by count and word.
+share of toxic labels; ties do not matter, as all orders are by count and word;
+an empty table gives no rows; a text of any length is read whole.
 """
 
 from __future__ import annotations
