@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verdikt.llm.quality_ranker import preference_weights, quantile_cut, rank_quality
+from verdikt.llm.quality_ranker import crossed_sums, preference_weights, quantile_cut, rank_quality
 from verdikt.llm.queries import op3, op6
 from verdikt.llm.toxicity import LEVELS, Model, toxicity, typical
 
@@ -55,6 +55,37 @@ def test_awkward_rows(spark, awkward, score, label):
     assert score(awkward.limit(0), labels).count() == 0
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """Marks that stand only in good documents beyond the first 6,000 by hash still raise a score."""
+    ids = spark.range(17_000).where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
+    good = ids.where("id % 2 = 0").orderBy(F.xxhash64("id"))
+    late = [r.id for r in good.collect()[6000:]]
+    assert len(late) > 100
+    text = F.when(F.col("id").isin(*late) | (F.col("id") >= 20_000), "one two | three 4 five").otherwise("one two three four five")
+    every = ids.unionByName(spark.range(20_000, 20_001)).unionByName(spark.range(20_001, 20_002))
+    docs = every.select(F.col("id").alias("doc_id"), F.when(F.col("id") == 20_001, "one two three four five").otherwise(text).alias("text"))
+    labels = ids.select(F.col("id").alias("doc_id"), (1 - F.col("id") % 2).cast("int").alias("quality"))
+    score = {r.doc_id: r.score for r in rank_quality(docs, labels).where("doc_id >= 20000").collect()}
+    assert score[20_000] > score[20_001] + 0.1
+
+
+def test_rare_labels_reach_every_block(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 60, "| | |").otherwise("some plain words").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") >= 60).cast("int").alias("quality"))
+    one, many = ({r.doc_id: r.score for r in rank_quality(docs, labels, folds=7, block=b).collect()} for b in (4096, 64))
+    for score in (one, many):
+        assert max(score[i] for i in range(60)) < 0.3 <= min(score[i] for i in range(60, 3000))
+
+
+def test_crossed_sums_are_those_of_all_pairs():
+    draw = np.random.default_rng(5)
+    good, bad, weights = draw.normal(size=(7, 3)), draw.normal(size=(5, 3)), draw.normal(size=3)
+    gap = (good[:, None] - bad[None]).reshape(-1, 3)
+    lost = 1 / (1 + np.exp(gap @ weights))
+    rise, bend = crossed_sums(good, bad, weights)
+    assert np.allclose(rise, gap.T @ lost) and np.allclose(bend, (gap.T * lost * (1 - lost)) @ gap)
+
+
 def test_preferences_are_recovered():
     draw = np.random.default_rng(3)
     rows, truth = draw.normal(size=(4000, 3)), np.array([2.0, -1.0, 0.0])
