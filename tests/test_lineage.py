@@ -54,3 +54,26 @@ def test_grounding(spark):
     assert [r[0] for r in df.select(free["keep"]).collect()] == [True, False, True, True, True]
     fallback = L.grounded(F.col("blob"), F.col("terms"), F.col("delta"), ("imaging",), (), ("cost",))
     assert [r[0] for r in df.select(fallback["keep"]).collect()] == [False, False, True, False, False]
+
+
+def test_terms_of_long_texts_are_found_as_in_short_ones():
+    words = [f"w{i * i % 977}x{i % 13}" for i in range(3000)]
+    text = " ".join(words)
+    terms = [text[i : i + n] for i in range(0, len(text) - 80, 997) for n in (1, 7, 32, 33, 70)]
+    terms += [t + "?" for t in terms] + ["absent", "", text, text + " "]
+    assert L.held_terms([terms, [], ["absent", None]], text) == [[t for t in terms if t in text], [], []]
+    assert L.held_terms([["a", "b", None]], "xay") == [["a"]] and L.held_terms([["a"], []], None) == [[], []] and L.held_terms(None, "a") is None
+
+
+def test_grounding_reads_an_edit_once_per_document(spark, monkeypatch, tmp_path):
+    """The edit's words are looked up per document, not searched through for every line (the query took 76 s on sf0.1)."""
+    from verdikt.plans import lines
+
+    text = "\n".join(f"of item{i} some{i * 7} longer words stand here{i}" if i % 2 else f"kept thing{i} line{i}" for i in range(400))
+    spark.createDataFrame([(1, text), (2, None), (3, ""), (None, "of x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    calls = []
+    real = L.grounded
+    monkeypatch.setattr(L, "grounded", lambda blob, terms, delta, *edit: calls.append(delta) or real(blob, terms, delta, *edit))
+    rows = {r.doc_id: r for r in lines.grounded_proposals(spark, str(tmp_path)).collect()}
+    assert calls == [None] * 3
+    assert rows.keys() == {1} and rows[1].proposals == 400 and rows[1].accepted == 200

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from verdikt.functions import rubrics as X
 from verdikt.functions import text as T
+from verdikt.operators.rowwise import with_python_column
 from verdikt.session import durable
 
 
@@ -60,8 +63,47 @@ def criterion_id(root_pair: Column, depth: Column, parent: Column, index: Column
     return F.concat(root_pair, F.lit("__criterion_"), depth.cast("string"), F.lit("_"), F.substring(stable_hash(payload, kind), 1, 12))
 
 
+OPENING = 32  # characters by which the places of a text are sorted
+
+
+def held_terms(lists: list[list[str]] | None, text: str | None) -> list[list[str]] | None:
+    """Of each list the terms that stand in the text.
+
+    The places of the text are sorted by what opens there, so a term takes a
+    binary search and not a pass over the text; a longer term is then compared
+    at the places that share its opening.
+    """
+    if lists is None:
+        return None
+    if text is None:
+        return [[] for _ in lists]
+    if len(text) < 2000:
+        return [[t for t in terms if t is not None and t in text] for terms in lists]
+    openings = sorted({text[i : i + OPENING] for i in range(len(text))})
+    known: dict[str, bool] = {"": True}
+
+    def holds(term: str) -> bool:
+        start = term[:OPENING]
+        at = bisect_left(openings, start)
+        if at == len(openings) or not openings[at].startswith(start):
+            return False
+        return len(term) <= OPENING or term in text
+
+    def looked_up(term: str) -> bool:
+        if term not in known:
+            known[term] = holds(term)
+        return known[term]
+
+    return [[t for t in terms if t is not None and looked_up(t)] for terms in lists]
+
+
+def with_delta_hits(rows: DataFrame, terms: str, delta: str, target: str) -> DataFrame:
+    """``rows`` with ``target`` in place of ``terms`` (an array of lists of terms) and ``delta``: the terms of each list that stand in it."""
+    return with_python_column(rows, [terms, delta], target, ArrayType(ArrayType(StringType())), held_terms)
+
+
 def grounded(
-    blob: Column, terms: Column, delta: Column, keywords: Sequence[str], allowed: Sequence[str] = (), blocked: Sequence[str] = ()
+    blob: Column, terms: Column, delta: Column | None, keywords: Sequence[str], allowed: Sequence[str] = (), blocked: Sequence[str] = ()
 ) -> Column:
     """Whether a proposal fits the edit that separates two texts, and why.
 
@@ -69,13 +111,14 @@ def grounded(
     the lines on one side only, in matched form.  A proposal is kept if one of its
     terms stands in the delta or a keyword of the edit in the proposal, and, where
     the edit names phrases, if it holds an allowed one (a keyword where none are
-    named) and no blocked one.
+    named) and no blocked one.  Without ``delta`` the terms are those of
+    ``with_delta_hits``, which looks up all lines of a text at once.
     """
     def hits(phrases: Sequence[str]) -> Column:
         named = F.array(*map(F.lit, phrases)).cast("array<string>")
         return F.filter(named, lambda p: F.contains(blob, T.matched_text(p)))
 
-    found = F.filter(terms, lambda t: F.contains(delta, t))
+    found = terms if delta is None else F.filter(terms, lambda t: F.contains(delta, t))
     profile = hits(keywords)
     touched = (F.size(found) > 0) | (F.size(profile) > 0)
     if not allowed and not blocked:

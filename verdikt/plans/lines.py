@@ -84,13 +84,15 @@ SELECT doc_id, count(*) AS proposals, count(*) FILTER (keep) AS accepted, count(
   count(*) FILTER (profile_n > 0) AS in_profile, count(*) FILTER (blocked_n > 0) AS blocked, coalesce(sum(place) FILTER (keep), 0)::BIGINT AS places FROM f GROUP BY doc_id""")
 def grounded_proposals(spark, folder):
     """Per document: its lines as proposals, accepted where they fit the edit that dropped lines."""
-    rows = documents(spark, folder).where("text IS NOT NULL").select("doc_id", T.full_lines(F.col("text")).alias("l"))
+    rows = B.table(spark, folder, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", T.full_lines(F.col("text")).alias("l"))
     weak = F.filter("l", lambda x: ~x.rlike(_DROP))
     sides = rows.select("doc_id", "l", X.line_delta(F.array_join("l", "\n"), F.array_join(weak, "\n"))["strong_only"].alias("only"))
-    lines = sides.select("doc_id", T.matched_text(F.array_join("only", "\n")).alias("delta"), F.posexplode("l").alias("place", "line"))
-    item = (F.lit("content"), F.lit("item"), F.col("line"))
-    named = lines.select("doc_id", "place", "delta", T.matched_text(F.concat_ws(" ", *item)).alias("blob"), L.proposal_terms(*item).alias("terms"))
-    judged = [L.grounded(F.col("blob"), F.col("terms"), F.col("delta"), *edit) for edit in EDITS]
+    item = lambda x: (F.lit("content"), F.lit("item"), x)
+    whole = sides.select("doc_id", "l", F.transform("l", lambda x: L.proposal_terms(*item(x))).alias("terms"), T.matched_text(F.array_join("only", "\n")).alias("delta"))
+    found = L.with_delta_hits(whole, "terms", "delta", "hits")
+    lines = found.select("doc_id", F.posexplode(F.arrays_zip("l", "hits")).alias("place", "line"))
+    named = lines.select("doc_id", "place", T.matched_text(F.concat_ws(" ", *item(F.col("line.l")))).alias("blob"), F.col("line.hits").alias("hits"))
+    judged = [L.grounded(F.col("blob"), F.col("hits"), None, *edit) for edit in EDITS]
     edit = F.col("doc_id") % 3
     found = named.select("doc_id", "place", F.when(edit == 0, judged[0]).when(edit == 1, judged[1]).otherwise(judged[2]).alias("g"))
     count = lambda c: F.count(F.when(c, 1))
