@@ -5,57 +5,60 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from verdikt.session import ship_package
 from verdikt.functions.text import ratio
+from verdikt.operators.rowwise import with_python_column
 from verdikt.operators.running import top_k
 
 DIRECT, PARTIAL, FAMILY_BONUS = 0.55, 0.30, 0.2     # fixed values
 
 
-def _incidence(token_lists, ids: dict) -> np.ndarray:
-    grid = np.zeros((len(token_lists), max(1, len(ids))), dtype=np.float32)
-    for i, toks in enumerate(token_lists):
-        grid[i, [ids[t] for t in toks if t in ids]] = 1.0
-    return grid
+CELLS = 1_000_000    # pairs of one prompt scored at once
 
 
 def match_lists(expert_tokens, expert_family, made_tokens, made_family) -> list[tuple[float, int]]:
     """Best (score, generated index) per expert criterion; the first index wins ties.
 
-    Intersections of one prompt's two lists come from one matrix product.
+    Intersections of one prompt's two lists are counted through the places of
+    each token, for as many experts at a time as keep the pairs bounded.
     """
     if not len(expert_tokens):
         return []
-    if not len(made_tokens):
+    made = len(made_tokens)
+    if not made:
         return [(0.0, -1)] * len(expert_tokens)
-    ids: dict = {}
-    for toks in made_tokens:
-        for t in toks:
-            ids.setdefault(t, len(ids))
-    inter = (_incidence(expert_tokens, ids) @ _incidence(made_tokens, ids).T).astype(np.float64)
-    union = (
-        np.array([len(t) for t in expert_tokens], dtype=float)[:, None]
-        + np.array([len(t) for t in made_tokens], dtype=float)[None, :] - inter
-    )
-    ef, gf = np.asarray(expert_family), np.asarray(made_family)
-    bonus = np.where((ef[:, None] == gf[None, :]) & (ef != "other")[:, None], FAMILY_BONUS, 0.0)
-    score = np.round(inter / np.maximum(union, 1.0) + bonus, 9)
-    best = score.argmax(axis=1)
-    top = score[np.arange(len(best)), best]
-    return [(float(s), int(i) if s > 0 else -1) for s, i in zip(top, best)]
+    places: dict = {}
+    for i, toks in enumerate(made_tokens):
+        for t in set(toks):
+            places.setdefault(t, []).append(i)
+    places = {t: np.array(at) for t, at in places.items()}
+    made_size = np.array([len(t) for t in made_tokens], dtype=float)
+    gf = np.asarray(made_family)
+    out = []
+    rows = max(1, CELLS // made)
+    for start in range(0, len(expert_tokens), rows):
+        some = expert_tokens[start : start + rows]
+        hits = [places[t] + e * made for e, toks in enumerate(some) for t in set(toks) if t in places]
+        inter = np.bincount(np.concatenate(hits), minlength=len(some) * made) if hits else np.zeros(len(some) * made)
+        inter = inter.reshape(len(some), made).astype(float)
+        union = np.array([len(t) for t in some], dtype=float)[:, None] + made_size[None, :] - inter
+        ef = np.asarray(expert_family[start : start + rows])
+        bonus = np.where((ef[:, None] == gf[None, :]) & (ef != "other")[:, None], FAMILY_BONUS, 0.0)
+        score = np.round(inter / np.maximum(union, 1.0) + bonus, 9)
+        best = score.argmax(axis=1)
+        top = score[np.arange(len(best)), best]
+        out += [(float(s), int(i) if s > 0 else -1) for s, i in zip(top, best)]
+    return out
 
 
 BEST = ArrayType(StructType([StructField("score", DoubleType()), StructField("index", IntegerType())]))
 
 
-@F.pandas_udf(BEST)
-def best_matches(et: pd.Series, ef: pd.Series, gt: pd.Series, gf: pd.Series) -> pd.Series:
-    return pd.Series([match_lists(*row) for row in zip(et, ef, gt, gf)])
+def best_matches(*lists) -> list[dict]:
+    return [{"score": score, "index": index} for score, index in match_lists(*lists)]
 
 
 def aligned(prompts: DataFrame) -> DataFrame:
@@ -68,11 +71,11 @@ def aligned(prompts: DataFrame) -> DataFrame:
     def part(c: str, name: str) -> Column:
         return F.transform(c, lambda x: x[name])
 
-    ship_package(prompts.sparkSession)
-    found = prompts.withColumn(
-        "_best", best_matches(part("experts", "tokens"), part("experts", "family"),
-                              part("generated", "tokens"), part("generated", "family")),
-    ).withColumns({
+    sides = prompts.withColumns({
+        "_et": part("experts", "tokens"), "_ef": part("experts", "family"), "_gt": part("generated", "tokens"), "_gf": part("generated", "family"),
+        "experts": F.transform("experts", lambda e: e.dropFields("tokens")), "generated": F.transform("generated", lambda g: g.dropFields("tokens")),
+    })
+    found = with_python_column(sides, ["_et", "_ef", "_gt", "_gf"], "_best", BEST, best_matches).withColumns({
         "_made": F.transform("generated", lambda g: F.struct(g["family"].alias("family"), g["polarity"].alias("polarity"))),
         "_ef": F.array_distinct(part("experts", "family")),
     })
