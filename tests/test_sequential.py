@@ -149,3 +149,36 @@ def test_best_match_first_index_wins():
     got = E.match_lists([["alpha", "beta"], []], ["other", "x"], [["gamma"], ["alpha", "beta"], ["alpha", "beta"]],
                         ["y", "z", "other"])
     assert got == [(1.0, 1), (0.0, -1)]
+
+
+def test_words_are_taken_in_one_pass(spark):
+    """Splitting, filtering and thinning out the words of a line took most of rubric_conflicts and expert_recall."""
+    import re
+
+    from verdikt.functions import rubrics as X
+    from verdikt.functions import text as T
+
+    texts = ["", " ", "Note: the The note's 12 abc-abcd ABCD efgh_ijkl éte été x1y2", "a b", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select("t", X.content_tokens(F.col("t")).alias("c"), X.family_tokens(F.col("t")).alias("f"), T.alnum_tokens(F.col("t")).alias("a"))
+    for r in found.collect():
+        if r.t is None:
+            assert r.c is r.f is r.a is None
+            continue
+        words = re.findall("[a-z0-9]+", r.t.lower())
+        assert r.a == words
+        assert r.c == [w for w in dict.fromkeys(words) if len(w) > 2 and w not in X.RUBRIC_STOPWORDS]
+        assert r.f == [w for w in dict.fromkeys(words) if len(w) > 3 and w not in X.FAMILY_STOPWORDS]
+    for plan in (X.content_tokens(F.col("t")), X.family_tokens(F.col("t")), T.alnum_tokens(F.col("t"))):
+        assert "split" not in str(plan) and "filter" not in str(plan)
+
+
+def test_prompts_split_a_text_once(spark, tmp_path):
+    """A filter on the lines was pushed below them and split every text again."""
+    from verdikt.plans import evaluation
+
+    spark.createDataFrame([(1, "en", "one\ntwo"), (2, "en", " \n  "), (3, "en", None), (4, "en", "")], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = evaluation.prompts(spark, str(tmp_path))
+    assert [r.prompt_id for r in rows.collect()] == [1]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert all("split" not in line for line in plan.splitlines() if "Filter" in line)
