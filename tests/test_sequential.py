@@ -182,3 +182,17 @@ def test_prompts_split_a_text_once(spark, tmp_path):
     assert [r.prompt_id for r in rows.collect()] == [1]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert all("split" not in line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_cosine_cells_are_scored_in_small_slices(spark, monkeypatch):
+    import numpy as np
+
+    draw = np.random.default_rng(2).integers(-3, 4, size=(700, 4)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(draw)], "id long, embedding array<double>")
+    qs, xs = rows.withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "item_id")
+    assert 0 < V.SCORED_ROWS * V.BLOCK_ROWS * 8 <= 8.5e6 and V.QUERY_ROWS <= V.BLOCK_ROWS
+    got = {}
+    for r in V.cosine_top_k(qs, xs, 1).collect():
+        got[r.query_id] = r.cosine
+    live = {i for i, v in enumerate(draw) if v.any()}
+    assert got.keys() == live and all(abs(c - 1) < 1e-9 for c in got.values())
