@@ -196,3 +196,25 @@ def test_cosine_cells_are_scored_in_small_slices(spark, monkeypatch):
         got[r.query_id] = r.cosine
     live = {i for i, v in enumerate(draw) if v.any()}
     assert got.keys() == live and all(abs(c - 1) < 1e-9 for c in got.values())
+
+
+def test_cells_of_tfidf_hold_few_products():
+    """2,000 documents of 150 words against 512 queries: products of 256 documents and fixed-width words took over 500 MB."""
+    import tracemalloc
+
+    import pandas as pd
+
+    words = [f"w{i:03}" for i in range(300)]
+    docs = pd.DataFrame([(d, words[(d * 7 + j * 2) % 300], 0.1) for d in range(2000) for j in range(150)], columns=["doc_id", "term", "w"])
+    asked = pd.DataFrame([(q, words[(q + j) % 300], 0.5) for q in range(512) for j in range(3)], columns=["query_id", "term", "w"])
+    tracemalloc.start()
+    got = V._score_cell(docs, asked, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    held = {d: set(g) for d, g in docs.groupby("doc_id")["term"]}
+    for q in (0, 100, 511):
+        mine = [words[(q + j) % 300] for j in range(3)]
+        best = sorted(((-round(sum(0.05 * (w in held[d]) for w in mine), 9), d) for d in held))[:3]
+        rows = got[got["query_id"] == q]
+        assert [(-round(s, 9), d) for s, d in zip(rows["similarity"], rows["doc_id"])] == best
