@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from verdikt.functions import rubrics as X
 from verdikt.operators import refinement as RF
 
 SCHEMA = "id bigint, texts array<string>, buckets array<string>, seeds array<string>"
@@ -60,3 +61,17 @@ def test_the_plan_is_a_map_of_expressions(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan.replace("PythonRDD", "")
     assert len({tuple(r)[1:] for r in out.collect()}) == 1
+
+
+def test_candidates_are_read_once_for_all_rules(spark):
+    """Each rule lower-cased and searched every candidate of its own; the facts are those of the rule function."""
+    texts = ["Chief Complaint: 5 MG daily", "mgx Metformin", "no plan; FOLLOW up", "", "omg", "History", None]
+    sides = ["gold_like", "synthetically_degraded", "strong_anchor", "note_truncated", "frontier_generated", "x", "gold_like"]
+    facts = RF.rule_facts(F.col("texts"), F.col("buckets"))
+    assert str(facts).count("lower(") == 1
+    got = spark.createDataFrame([(texts, sides)], "texts array<string>, buckets array<string>").select(facts.alias("f")).first().f
+    rows = spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(zip(texts, sides))], "i int, t string, b string")
+    for (wording, _), fact in zip(RF.RULES, got, strict=True):
+        hit = F.coalesce(X.heuristic_satisfaction(F.col("t"), F.col("b"), F.lit(wording)), F.lit(False))
+        assert fact.hits == [r.h for r in rows.orderBy("i").select(hit.alias("h")).collect()]
+    assert got[1].hits == [True, True, False, False, False, False, False]

@@ -108,23 +108,25 @@ def both(a: Column, b: Column, join) -> Column:
 
 def rule_facts(texts: Column, buckets: Column) -> Column:
     """For each rule: which candidates satisfy it, and whether weak ones do so more often than strong ones."""
-    pool = F.zip_with(F.transform(texts, F.lower), buckets, lambda t, b: F.struct(t.alias("t"), b.alias("b")))
+    pool = F.zip_with(texts, buckets, lambda t, b: F.struct(F.lower(t).alias("t"), b.alias("b")))
 
-    def facts(wording: str) -> Column:
-        judged = F.transform(pool, lambda c: F.struct(
-            F.coalesce(X.heuristic_satisfaction(c["t"], c["b"], F.lit(wording)), F.lit(False)).alias("hit"), c["b"].alias("b")))
+    def judged(c: Column) -> Column:
+        hits = [F.coalesce(X.satisfied(c["t"], c["b"], F.lit(wording)), F.lit(False)) for wording, _ in RULES]
+        return F.struct(F.array(*hits).alias("hits"), c["b"].alias("b"))
 
-        def summed(cells: Column) -> Column:
-            def share(side: tuple[str, ...]) -> Column:
-                mine = F.filter(cells, lambda c: c["b"].isin(*side))
-                return F.when(F.size(mine) > 0, F.size(F.filter(mine, lambda c: c["hit"])) / F.size(mine))
+    def facts(cells: Column, rule: int) -> Column:
+        def hit(c: Column) -> Column:
+            return F.get(c["hits"], F.lit(rule))
 
-            worse = F.coalesce(share(WEAK) > share(STRONG) + 0.05, F.lit(False))
-            return F.struct(F.transform(cells, lambda c: c["hit"]).alias("hits"), worse.alias("misaligned"))
+        def share(side: tuple[str, ...]) -> Column:
+            mine = F.filter(cells, lambda c: c["b"].isin(*side))
+            return F.when(F.size(mine) > 0, F.size(F.filter(mine, hit)) / F.size(mine))
 
-        return T.let(judged, summed)
+        worse = F.coalesce(share(WEAK) > share(STRONG) + 0.05, F.lit(False))
+        return F.struct(F.transform(cells, hit).alias("hits"), worse.alias("misaligned"))
 
-    return F.array(*[facts(wording) for wording, _ in RULES])
+    # each text is put in lower case once and read once for all rules
+    return T.let(F.transform(pool, judged), lambda cells: F.array(*[facts(cells, i) for i in range(len(RULES))]))
 
 
 def near_in_size(a: Column, b: Column) -> Column:
