@@ -52,3 +52,22 @@ def test_no_queries_and_one_record(spark, folder):
     records = R.records(spark, folder)
     assert G.guided_top_k(records, F.lit(False), 3)[0].count() == 0
     assert G.guided_top_k(records.where("id = 50000"), F.lit(True), 3)[0].count() == 0
+
+
+def test_queries_do_not_meet_each_profile_apart(spark, folder, monkeypatch):
+    """What is kept of a query grows with k and the slices, not with the profiles; small cells give the same."""
+    asked, kept = F.expr("id div 10000") % 50 == 0, []
+    records = R.records(spark, folder)
+    keep = G.durable
+    monkeypatch.setattr(G, "durable", lambda df: kept.append(keep(df)) or kept[-1])
+    result, share = G.guided_top_k(records, asked, 5)
+    n = records.where(asked).count()
+    assert kept[1].count() > 50  # profiles
+    assert [t.columns for t in kept if "query_id" in t.columns and t.count() > 2 * 5 * n] == []
+    compared = {r.query_id: r.compared for r in share.collect()}
+    monkeypatch.setattr(G, "RECORD_ROWS", 9)
+    monkeypatch.setattr(G, "QUERY_ROWS", 2)
+    cut, cut_share = G.guided_top_k(records, asked, 5)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, result.collect()))
+    # a cell is named by its slice and pool: no slice is counted twice
+    assert {r.query_id: r.compared for r in cut_share.collect()} == compared
